@@ -87,7 +87,7 @@ def _class(members: list[int]) -> str:
 
 @lru_cache(maxsize=1)
 def _segments() -> re.Pattern[str]:
-    """Finds unstable segments: a character that may combine (quick check Maybe) or that the folding changes (quick check No and beyond), with the starter before it."""
+    """Finds runs of unstable characters: those that may combine (quick check Maybe) or that the folding changes (quick check No and beyond)."""
     unstable = []
     for cp in range(0x09, sys.maxunicode + 1):
         if 0x0E < cp < 0x7F or 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7A4 or 0xD800 <= cp < 0xF900 or 0x20000 <= cp < 0x2F800 or 0x30000 <= cp < 0xE0000 or cp >= 0xE0200:
@@ -95,19 +95,26 @@ def _segments() -> re.Pattern[str]:
         ch = chr(cp)
         if ch != "\n" and (unicodedata.combining(ch) or 0x1100 <= cp < 0x1200 or unicodedata.normalize("NFC", _plain(ch)) != ch):
             unstable.append(cp)
-    return re.compile(f"\r\n?|(?:[^{_class(unstable)}\r\n])?[{_class(unstable)}]+")
-
-
-@lru_cache(maxsize=1)
-def _quick() -> re.Pattern[str]:
-    return re.compile("[^\x20-\x7e\n]")
+    return re.compile(f"[{_class(unstable)}]+")
 
 
 def canonical(text: str | None) -> str | None:
     """The one form of a text; null stays null, an empty text stays empty, whatever the length."""
     if text is None or (text.isascii() and "\t" not in text and "\r" not in text):
         return text
-    return _segments().sub(lambda m: "\n" if m[0][0] == "\r" else _fold(m[0]), text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    out, done = [], 0
+    for m in _segments().finditer(text):
+        start = m.start()
+        # boundary context: the starter before a segment, with which its first character may compose
+        start -= start > done and text[start - 1] != "\n"
+        out += (text[done:start], _fold(text[start : m.end()]))
+        done = m.end()
+    if not done:
+        return text
+    out.append(text[done:])
+    return "".join(out)
 
 
 def _canonical_series(texts: pd.Series) -> pd.Series:
