@@ -2,9 +2,9 @@
 
 Each text, reduced to its letters and digits, is cut where a rolling hash says so (content-defined chunking), so equal
 passages give equal chunks wherever they stand. A persistent table maps chunk hashes to the accepted texts that hold
-them. Of an accepted text only its rarest chunks are looked up: so many bytes of them that any text which covers the
-least share of it must hold one (a prefix filter, exact for that coverage). The texts met that way are decided by the
-bytes of shared chunks and then by the exact share of the accepted text kept. Rows that repeat nothing are accepted in
+them. Of an accepted text only its rarest chunks are looked up: so many of them that any text which covers the least
+share of it must share a known number of characters with them (a prefix filter, exact for that coverage). The texts
+that do are decided by the total of shared chunks and then by the exact share of the accepted text kept. Rows that repeat nothing are accepted in
 order of arrival and their chunks appended.
 """
 
@@ -34,6 +34,8 @@ class ChunkParams:
     most: int = 256
     window: int = 4
     coverage: float = 0.4
+    #: the share of an accepted text, in its rarest chunks, that is looked up; above 1 - coverage
+    looked_up: float = 0.7
     kept: float = 0.75
     run: int = 16
 
@@ -102,7 +104,7 @@ def _cut(batches: Iterator[pa.RecordBatch], p: ChunkParams) -> Iterator[pa.Recor
             whole += [len(text)] * len(found)
             h += found.keys()
             size += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(h, pa.int64()), pa.array(size, pa.int32()), pa.array(whole, pa.int32())], ["t", "h", "size", "whole"])
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(h, pa.int64()), pa.array(size, pa.int32()), pa.array(whole, pa.int32())], ["t", "h", "size", "whole"])
 
 
 class ChunkStore:
@@ -111,8 +113,8 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str | None = None, params: ChunkParams = ChunkParams()):
         self.spark, self.path, self.p = spark, (path or fresh_path(spark, "chunks")).rstrip("/"), params
         self.schemas = {
-            "rows": "n bigint, id string, t string", "texts": "t string, text string",
-            "chunks": "t string, h bigint, size int, whole int",
+            "rows": "n bigint, id string, t binary", "texts": "t binary, text string",
+            "chunks": "t binary, h bigint, size int, whole int",
         }
         self.parts: dict[str, list[str]] = {k: [] for k in self.schemas}
 
@@ -136,7 +138,7 @@ class ChunkStore:
         """Rows (n, id, t), distinct texts (t, text) and their chunks; ``t`` names a reduced text, null where there is none."""
         clean = F.pandas_udf(_prepared, "string").asNondeterministic()
         rows = batch.where(F.col(number).isNotNull()).select(F.col(number).cast("bigint").alias("n"), F.col(key).cast("string").alias("id"), clean(F.col(text).cast("string")).alias("text"))
-        rows = self._stage("prepared", rows.withColumn("t", F.when(F.length("text") > 0, F.md5(F.col("text").cast("binary")))))
+        rows = self._stage("prepared", rows.withColumn("t", F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary"))))))
         texts = rows.where("t IS NOT NULL").groupBy("t").agg(F.first("text").alias("text"))
         texts = self._stage("texts", texts)
         p = self.p
@@ -161,10 +163,13 @@ class ChunkStore:
         order = W.partitionBy("t").orderBy("df", "h").rowsBetween(W.unboundedPreceding, -1)
         # chunks that only one text holds find nothing, but they count as the rarest bytes of it
         rare = known.join(often, "h").withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).where(
-            (F.col("df") > 1) & (F.col("before") <= (1 - p.coverage) * F.col("whole"))
+            (F.col("df") > 1) & (F.col("before") <= p.looked_up * F.col("whole"))
         )
-        a, b = rare.select("h", F.col("t").alias("a")), cut.select("h", F.col("t").alias("b"))
-        met = self._stage("met", a.join(b, "h").where("a != b").select("a", "b").distinct())
+        a, b = rare.select("h", F.col("t").alias("a"), "size", "whole"), cut.select("h", F.col("t").alias("b"))
+        # chunks beyond the ones looked up hold at most (1 - looked_up) of the text: the rest of the coverage must be seen here
+        due = (p.coverage - (1 - p.looked_up)) * F.col("whole")
+        shared = a.join(b, "h").where("a != b").groupBy("a", "b").agg(F.sum("size").alias("seen"), F.first("whole").alias("whole"))
+        met = self._stage("met", shared.where(F.col("seen") >= due).select("a", "b"))
         everything = self._table("texts").unionByName(texts).dropDuplicates(["t"])
 
         def kept(first: pd.Series, second: pd.Series) -> pd.Series:
