@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.plans import general_problems
+from tidemill.plans import feed_queries, general_problems
 
-QUERIES = {**general_problems.QUERIES}
-SQL = {**general_problems.SQL}
+flagship = feed_queries.flagship
+QUERIES = {**feed_queries.QUERIES, **general_problems.QUERIES}
+SQL = {**feed_queries.SQL, **general_problems.SQL}
