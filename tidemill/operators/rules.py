@@ -58,6 +58,15 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str) ->
     return F.coalesce(first_reason([(text.rlike(p), label) for p, label in rules]), F.lit(default))
 
 
+def held(value: Column, kept: str) -> Column:
+    """``value != kept`` as a filter that stays above the projections that compute ``value``.
+
+    Pushed down, such a filter would hold every expression its value is made of, written out once for each use. An
+    always true draw makes it non-deterministic, which the optimizer doesn't push.
+    """
+    return F.when(F.rand() >= 0, value) != kept
+
+
 @dataclass(frozen=True)
 class ScoreRules:
     """Weighted dictionaries of one scorer."""

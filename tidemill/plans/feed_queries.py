@@ -570,7 +570,7 @@ def _recommend(order: str) -> str:
 
 
 def _shown(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where("tier != 'hidden'")
+    return _scored(spark, d).where(rules.held(F.col("tier"), "hidden"))
 
 
 @_q(_recommend("tier = 'high' DESC, overall DESC, strength DESC"))
@@ -693,7 +693,7 @@ def stream_ttl_state(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Clean, score, gate, one row for each opportunity, ranked: the best 150."""
-    df = _scored(spark, d).join(_gated(spark, d).where("reason IS NULL").select("cand_no"), "cand_no", "left_semi").where("tier != 'hidden'")
+    df = _shown(spark, d).join(_gated(spark, d).where("reason IS NULL").select("cand_no"), "cand_no", "left_semi")
     key = F.concat_ws("|", X.word_key(F.coalesce("company", F.lit(""))), X.word_key(F.coalesce("title", F.lit(""))))
     best = dedupe.best_of(df.withColumn("key", key), ["key"], [F.desc("overall"), F.col("cand_no")])
     return best.orderBy((F.col("tier") == "high").desc(), F.desc("fresh"), F.desc("overall"), "cand_no").limit(150).select("cand_no", "title", "company", "tier", "overall", "fresh", "reasons")
