@@ -1,6 +1,6 @@
 """Rule sets as data, turned into one expression each: weighted phrases, scrubbing, gates with reasons, classifiers.
 
-A rule set is a short ordered list, so it becomes part of the plan (generated code, no join, no shuffle).
+A rule set is a short ordered list, so it becomes a constant of the plan (no join, no shuffle).
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from tidemill.functions.scalars import clamp
 
 
+def _phrases(phrases: Sequence[str]) -> Column:
+    return F.array(*[F.lit(p) for p in phrases])
+
+
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(text, F.lit(p))
-    return out
+    return F.exists(_phrases(phrases), lambda p: F.contains(text, p)) if phrases else F.lit(False)
 
 
 def scrub(text: Column, phrases: Sequence[str]) -> Column:
@@ -29,11 +30,14 @@ def scrub(text: Column, phrases: Sequence[str]) -> Column:
 
 
 def weighted_hits(text: Column, weights: Sequence[tuple[str, int]]) -> Column:
-    """The sum of the weights of the phrases contained; each counts once."""
-    out = F.lit(0)
-    for phrase, weight in weights:
-        out = out + F.when(F.contains(text, F.lit(phrase)), weight).otherwise(0)
-    return out
+    """The sum of the weights of the phrases contained; each counts once.
+
+    A loop over a constant array: a term for each phrase would make methods too long for the JVM to compile.
+    """
+    if not weights:
+        return F.lit(0)
+    rules = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in weights])
+    return F.aggregate(rules, F.lit(0), lambda total, r: total + F.when(F.contains(text, r["p"]), r["w"]).otherwise(0))
 
 
 def hit_count(text: Column, phrases: Sequence[str]) -> Column:
@@ -42,7 +46,7 @@ def hit_count(text: Column, phrases: Sequence[str]) -> Column:
 
 def hit_list(text: Column, phrases: Sequence[str], most: int) -> Column:
     """The phrases contained, in rule order, at most ``most``."""
-    return F.slice(F.filter(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases]), lambda x: x.isNotNull()), 1, most)
+    return F.slice(F.filter(_phrases(phrases), lambda p: F.contains(text, p)), 1, most)
 
 
 def first_reason(cases: Sequence[tuple[Column, str]]) -> Column:
