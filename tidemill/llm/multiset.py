@@ -17,7 +17,8 @@ _MASK = (1 << 32) - 1
 def bare(value: Column) -> Column:
     """Without case, white space and punctuation (separators and brackets included)."""
     kept = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\p{P}\p{Z}\p{C}\s|｜¦]+", "")
-    return F.lower(F.upper(kept))  # by way of upper case, ß and ss (or ſ and s) meet
+    # letters whose upper case is written with others: ß and SS, ſ and S, ς and Σ meet
+    return F.replace(F.translate(F.lower(kept), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
 def fields_of(payload: Column, form: Column, names: list[str]) -> list[Column]:
