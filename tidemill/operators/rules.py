@@ -62,13 +62,13 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str) ->
     return F.coalesce(first_reason([(text.rlike(p), label) for p, label in rules]), F.lit(default))
 
 
-def held(value: Column, kept: str) -> Column:
-    """``value != kept`` as a filter that stays above the projections that compute ``value``.
+def where_not(df: DataFrame, column: str, value: str) -> DataFrame:
+    """``column != value`` as a filter that stays above the projections that compute the column.
 
-    Pushed down, such a filter would hold every expression its value is made of, written out once for each use. An
-    always true draw makes it non-deterministic, which the optimizer doesn't push.
+    Pushed down, such a filter would hold every expression the column is made of, written out once for each use. An
+    always true draw makes the column non-deterministic for the optimizer, which pushes no filter below that.
     """
-    return F.when(F.rand() >= 0, value) != kept
+    return df.withColumn(column, F.when(F.rand() >= 0, F.col(column))).where(F.col(column) != value)
 
 
 @dataclass(frozen=True)
@@ -91,15 +91,16 @@ def scored(df: DataFrame, text: str, fresh: str, rules: ScoreRules) -> DataFrame
 
     One projection for each step: what several later expressions use is computed once, not written into each of them.
     """
-    strong = [p for p, _ in rules.strong]
-    names = strong + [p for p, _ in rules.medium]
     a, f, k = rules.coefficients
-    t = F.col(text)
+    weighted = [(p, w, 1) for p, w in rules.strong] + [(p, w, 0) for p, w in rules.medium]
     bonus = F.when(F.col("__tm_hits") >= 2, 12).when(F.col("__tm_hits") == 0, -18).otherwise(0)
-    df = df.withColumn("__tm_z", scrub(t, rules.negated))
-    df = df.withColumns({"__tm_hits": hit_count(t, strong), "__tm_sum": weighted_hits(t, [*rules.strong, *rules.medium]), "__tm_hard": contains_any(F.col("__tm_z"), rules.hard_risk), "__tm_soft": weighted_hits(F.col("__tm_z"), rules.soft_risk), "reasons": F.array_join(hit_list(t, names, 6), ",")})
+    # each phrase is looked for once; sums, counts and reasons come from the list of those found
+    found = F.filter(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(s).alias("s")) for p, w, s in weighted]), lambda r: F.contains(F.col(text), r["p"]))
+    total = lambda name: F.aggregate("__tm_found", F.lit(0), lambda acc, r: acc + r[name])
+    df = df.withColumns({"__tm_found": found, "__tm_z": scrub(F.col(text), rules.negated)})
+    df = df.withColumns({"__tm_hits": total("s"), "__tm_sum": total("w"), "__tm_hard": contains_any(F.col("__tm_z"), rules.hard_risk), "__tm_soft": weighted_hits(F.col("__tm_z"), rules.soft_risk), "reasons": F.array_join(F.slice(F.transform("__tm_found", lambda r: r["p"]), 1, 6), ",")})
     df = df.withColumns({"strength": clamp(F.lit(rules.base) + F.col("__tm_sum") + bonus), "risk": clamp(F.col("__tm_soft") + F.when(F.col("__tm_hard"), 70).otherwise(0))})
     df = df.withColumn("overall", clamp(F.col("strength") * F.lit(a) + F.col(fresh) * F.lit(f) + F.lit(10.0) - F.col("risk") * F.lit(k)))
     df = df.withColumn("overall", F.when(F.col("__tm_hard"), F.least("overall", F.lit(rules.hard_cap))).otherwise(F.col("overall")))
     tiers = [((F.col("overall") >= low) & (F.col("risk") <= top) & ~F.col("__tm_hard"), name) for name, low, top in rules.tiers]
-    return df.withColumn("tier", F.coalesce(first_reason(tiers), F.lit("hidden"))).drop("__tm_z", "__tm_hits", "__tm_sum", "__tm_hard", "__tm_soft")
+    return df.withColumn("tier", F.coalesce(first_reason(tiers), F.lit("hidden"))).drop("__tm_found", "__tm_z", "__tm_hits", "__tm_sum", "__tm_hard", "__tm_soft")

@@ -570,7 +570,7 @@ def _recommend(order: str) -> str:
 
 
 def _shown(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where(rules.held(F.col("tier"), "hidden"))
+    return rules.where_not(_scored(spark, d), "tier", "hidden")
 
 
 @_q(_recommend("tier = 'high' DESC, overall DESC, strength DESC"))
