@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def decayed_fold(runs: Column, rate: float, digits: int = 4) -> Column:
+def decayed_fold(runs: Column, rate: float, digits: int = 4, start: Column | None = None) -> Column:
     """Folds one source's ordered values: each step decays, rounds and adds."""
-    return F.aggregate(runs, F.lit(0.0), lambda acc, x: F.bround(acc * rate, digits) + x)
+    return F.aggregate(runs, F.lit(0.0) if start is None else start, lambda acc, x: F.bround(acc * rate, digits) + x)
 
 
 def ordered_values(df: DataFrame, key: str, at: str, value: Column) -> DataFrame:

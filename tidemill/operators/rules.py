@@ -65,10 +65,11 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str) ->
 def where_not(df: DataFrame, column: str, value: str) -> DataFrame:
     """``column != value`` as a filter that stays above the projections that compute the column.
 
-    Pushed down, such a filter would hold every expression the column is made of, written out once for each use. An
-    always true draw makes the column non-deterministic for the optimizer, which pushes no filter below that.
+    Pushed down, such a filter would hold every expression the column is made of, written out once for each use. Tied
+    to the row's running number, which is never negative, the column is non-deterministic for the optimizer, and it pushes
+    no filter below that.
     """
-    return df.withColumn(column, F.when(F.rand() >= 0, F.col(column))).where(F.col(column) != value)
+    return df.withColumn(column, F.when(F.monotonically_increasing_id() >= 0, F.col(column))).where(F.col(column) != value)
 
 
 @dataclass(frozen=True)

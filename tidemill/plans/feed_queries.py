@@ -691,6 +691,14 @@ def stream_ttl_state(spark: SparkSession, d: str) -> DataFrame:
     return state.unexpired(kept, "last_seen", "2024-01-30 12:00:00", 14).select("user_id", F.unix_micros("last_seen").alias("last_us"), "n_seen")
 
 
+@_q(SQL["decay_fold"])
+def stream_decay_state(spark: SparkSession, d: str) -> DataFrame:
+    """The decayed statistics as a stream over the events; equal to the batch version."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    stream = state.read_stream(spark, d, schema, "events.parquet").select("event_type", F.to_date("ts").alias("day"))
+    return state.decayed_stream(stream, "event_type", "day", 0.82).select("event_type", "weight")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Clean, score, gate, one row for each opportunity, ranked: the best 150."""
     df = _shown(spark, d).join(_gated(spark, d).where("reason IS NULL").select("cand_no"), "cand_no", "left_semi")
