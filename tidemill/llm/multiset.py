@@ -50,7 +50,9 @@ def collapse(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     part. Rows repeated with the same key count as copies. An empty table gives no rows; long values are compared whole;
     other columns take no part.
     """
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *[bare(F.col(f)).alias(f"v{i}") for i, f in enumerate(fields)])
+    # tied to the row's running number, so that the filters below aren't pushed down and each field is parsed once
+    once = F.monotonically_increasing_id() >= 0
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *[F.when(once, bare(F.col(f))).alias(f"v{i}") for i, f in enumerate(fields)])
     values = [f"v{i}" for i in range(len(fields))]
     for v in values:
         rows = rows.where(F.length(v) > 0)
