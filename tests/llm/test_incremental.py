@@ -57,3 +57,36 @@ def test_ingest(spark):
     both.accept(df.where("batch = 0"), "no", "key", "body")
     assert {r["n"]: r["first_no"] for r in both.ingest(df.where("batch > 0"), "no", "key", "body").collect()} == want
     assert both.ingest(df.limit(0), "no", "key", "body").count() == 0
+
+
+def test_scattered_edits_and_moved_sentences():
+    from tidemill.llm.incremental import kept_pairs
+
+    r, rows = random.Random(5), ["".join(text(k).split()) for k in range(40)]
+    for t in rows[:40]:
+        # a change every 17 to 24 characters destroys most chunks and keeps runs of at least 16
+        out, at = list(t), r.randint(0, 8)
+        while at < len(t):
+            out[at] = "#"
+            at += r.randint(17, 24)
+        rows.append("".join(out))
+        parts = [t[k : k + 18] for k in range(0, len(t), 18)]
+        r.shuffle(parts)
+        rows.append("".join(parts))
+        rows.append("".join(parts[: r.randint(8, len(parts))]))
+    rows += ["short", "a" * 16, "a" * 300, "ab" * 40, ""]
+    want = {(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if len(x) >= 16 and len(y) >= 16 and kept_share(x, y, 16) >= 0.75}
+    assert set(kept_pairs(rows, rows)) == want
+    low = [(i, j) for i, j in want if sum(n for h, n in chunks(rows[i]).items() if h in chunks(rows[j])) < 0.4 * len(rows[i])]
+    assert len(low) > 20  # what a bound on chunks would lose
+
+
+def test_ingest_finds_texts_that_share_few_chunks(spark):
+    t = text(3)
+    parts = [t[k : k + 30] for k in range(0, len(t), 30)]
+    moved = "".join(x + "#" for x in sorted(parts))
+    rows = [(1, 0, None, t), (2, 1, None, "".join(w + ("q" if k % 5 == 4 else "") for k, w in enumerate(t.split(" ")))), (3, 1, None, moved)]
+    df = spark.createDataFrame(rows, "no bigint, batch int, key string, body string")
+    store = ChunkStore(spark)
+    store.accept(df.where("batch = 0"), "no", "key", "body")
+    assert {r["n"]: r["first_no"] for r in store.ingest(df.where("batch = 1"), "no", "key", "body").collect()} == brute(rows, 0)

@@ -1,16 +1,17 @@
-"""New batches held against everything accepted before, without reprocessing it.
-
-Each text, reduced to its letters and digits, is cut where a rolling hash says so (content-defined chunking), so equal
-passages give equal chunks wherever they stand. A persistent table maps chunk hashes to the accepted texts that hold
-them. Of an accepted text only its rarest chunks are looked up: so many of them that any text which covers the least
-share of it must share a known number of characters with them (a prefix filter, exact for that coverage). The texts
-that do are decided by the total of shared chunks and then by the exact share of the accepted text kept. Rows that repeat nothing are accepted in
-order of arrival and their chunks appended.
+"""New batches held against everything accepted before.
+
+Each text is reduced to its letters and digits. Two texts that share a run share the gram with the smallest hash in it,
+wherever the run stands (winnowing), so the grams chosen this way tell, without loss, in which windows of an accepted
+text a run may be shared. As the accepted text must be kept up to a known number of characters, every stretch of windows
+that alone covers more characters than may be missing must be hit: its cheapest stretches are looked up among the new
+texts, and what they leave is decided by the exact share kept. Accepted and new texts meet in blocks of bounded size.
+Rows that repeat nothing are accepted in order of arrival and their texts appended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +20,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tidemill.llm.leakage import stream
 from tidemill.session import fresh_path
@@ -28,16 +27,15 @@ from tidemill.session import fresh_path
 
 @dataclass(frozen=True)
 class ChunkParams:
-    """``mean`` and ``most`` size of a chunk in characters; the least chunk coverage of a candidate; the least share of the accepted text kept, measured by shared runs of at least ``run`` characters."""
+    """``mean`` and ``most`` size of a chunk in characters; the least share of the accepted text kept, measured by shared runs of at least ``run`` characters; the most characters of a block of accepted and of new texts."""
 
     mean: int = 16
     most: int = 256
     window: int = 4
-    coverage: float = 0.4
-    #: the share of an accepted text, in its rarest chunks, that is looked up; above 1 - coverage
-    looked_up: float = 0.7
     kept: float = 0.75
     run: int = 16
+    block_a: int = 4_000_000
+    block_b: int = 8_000_000
 
 
 def chunk_ends(text: str, p: ChunkParams = ChunkParams()) -> list[int]:
@@ -94,17 +92,129 @@ def _prepared(texts: pd.Series) -> pd.Series:
     return pd.Series([stream(t) if t else None for t in texts], dtype=object)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], p: ChunkParams) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        t, h, size, whole = [], [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
-            found = chunks(text, p)
-            t += [key] * len(found)
-            whole += [len(text)] * len(found)
-            h += found.keys()
-            size += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(h, pa.int64()), pa.array(size, pa.int32()), pa.array(whole, pa.int32())], ["t", "h", "size", "whole"])
+def _windows(texts: Sequence[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``run`` characters of the texts in a row the smallest hash of its grams; the first window of each text, all of ``run`` characters at least."""
+    q = run * 3 // 4
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(codes) - q + 1, np.uint64)
+    for k in range(q):
+        h += codes[k : k + len(h)]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    least = h[: len(codes) - run + 1].copy()
+    for k in range(1, run - q + 1):
+        np.minimum(least, h[k : k + len(least)], out=least)
+    return least, np.cumsum([0, *map(len, texts)])
+
+
+def _batched(texts: Sequence[str], run: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, window hashes) of each text of at least ``run`` characters."""
+    at = 0
+    while at < len(texts):
+        part, size = [], 0
+        while at < len(texts) and size < 250_000:
+            if len(texts[at]) >= run:
+                part.append(at)
+                size += len(texts[at])
+            at += 1
+        if part:
+            least, first = _windows([texts[i] for i in part], run)
+            for i, start in zip(part, first.tolist()):
+                yield i, least[start : start + len(texts[i]) - run + 1]
+
+
+def _heads(windows: np.ndarray) -> np.ndarray:
+    """Where a window's hash is another than that of the window before."""
+    return np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]]))
+
+
+def _covered(shared: np.ndarray, run: int) -> int:
+    """Characters that lie in the windows marked."""
+    at = np.flatnonzero(shared)
+    return int(np.minimum(np.diff(at), run).sum()) + run if len(at) else 0
+
+
+def _stretches(cost: np.ndarray, missing: int, run: int) -> list[tuple[int, int, int]]:
+    """(cost, from, to) of stretches of windows that alone cover more than ``missing`` characters, cheapest first."""
+    n = len(cost)
+    total = np.concatenate([[0], np.cumsum(cost)])
+    # at either end of a text, characters lie in fewer windows than inside it
+    ends = min(missing + 1, n)
+    found = {(int(total[ends]), 0, ends), (int(total[n] - total[n - ends]), n - ends, n)}
+    inner = missing + run
+    if inner < n:
+        sums = total[inner:] - total[:-inner]
+        best = int(sums.argmin())
+        found |= {(int(sums[k]), k, k + inner) for k in {best, *range(0, n - inner + 1, inner)}}
+    return sorted(found)
+
+
+def kept_pairs(accepted: Sequence[str], new: Sequence[str], p: ChunkParams = ChunkParams()) -> list[tuple[int, int]]:
+    """All (i, j) for which ``new[j]`` keeps enough of ``accepted[i]``; texts shorter than a run have no part in it."""
+    hashes, owners = [], []
+    for j, windows in _batched(new, p.run):
+        values = np.unique(windows)
+        hashes.append(values)
+        owners.append(np.full(len(values), j, np.int32))
+    if not hashes:
+        return []
+    length = np.zeros(len(new) + 1, np.int64)
+    for j, values in zip(owners, hashes):
+        length[j[0] + 1] = len(values)
+    first_of = np.cumsum(length)
+    all_hashes, owner = np.concatenate(hashes), np.concatenate(owners)
+    del hashes, owners
+    known, number = np.unique(all_hashes, return_inverse=True)
+    number = number.astype(np.int32)
+    del all_hashes
+    holders = owner[np.argsort(number, kind="stable")]
+    held = np.bincount(number, minlength=len(known))
+    start, held = np.concatenate([[0], np.cumsum(held)]), np.append(held, 0)
+    mark, out = np.zeros(len(known) + 1, bool), []
+
+    def holding(ids: np.ndarray) -> np.ndarray:
+        """Which new texts hold one of the hashes."""
+        hit = np.zeros(len(new), bool)
+        ids = ids[ids < len(known)]
+        if len(ids):
+            hit[np.concatenate([holders[x:y] for x, y in zip(start[ids].tolist(), start[ids + 1].tolist())])] = True
+        return hit
+
+    for i, windows in _batched(accepted, p.run):
+        heads = _heads(windows)
+        at = np.minimum(np.searchsorted(known, windows[heads]), len(known) - 1)
+        ids = np.where(known[at] == windows[heads], at, len(known))
+        of_window = np.repeat(ids, np.diff(np.append(heads, len(windows))))
+        x = accepted[i]
+        missing = len(x) - math.ceil(p.kept * len(x) - 1e-9)
+        if _covered(of_window < len(known), p.run) < len(x) - missing:
+            continue
+        cost = np.zeros(len(windows), np.int64)
+        cost[heads] = held[ids]
+        found = None
+        for price, a, b in _stretches(cost, missing, p.run):
+            # a further stretch is looked up while that is cheaper than to decide the pairs left
+            if found is not None and (len(found) < 5 or price > 3000 * len(found)):
+                break
+            within = np.concatenate([of_window[a : a + 1], ids[(heads > a) & (heads < b)]])
+            hit = holding(within)
+            found = np.flatnonzero(hit) if found is None else found[hit[found]]
+            if not len(found):
+                break
+        for j in found.tolist():
+            mine = number[first_of[j] : first_of[j + 1]]
+            mark[mine] = True
+            share = _covered(mark[of_window], p.run)
+            mark[mine] = False
+            if share >= len(x) - missing and kept_share(x, new[j], p.run) >= p.kept:
+                out.append((i, j))
+    return out
+
+
+def _linked(accepted: pa.Table, new: pa.Table, p: ChunkParams) -> pa.Table:
+    ta, tb = accepted["t"].to_pylist(), new["t"].to_pylist()
+    pairs = [(ta[i], tb[j]) for i, j in kept_pairs(accepted["text"].to_pylist(), new["text"].to_pylist(), p) if ta[i] != tb[j]] if ta and tb else []
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
 
 class ChunkStore:
@@ -114,7 +224,6 @@ class ChunkStore:
         self.spark, self.path, self.p = spark, (path or fresh_path(spark, "chunks")).rstrip("/"), params
         self.schemas = {
             "rows": "n bigint, id string, t binary", "texts": "t binary, text string",
-            "chunks": "t binary, h bigint, size int, whole int",
         }
         self.parts: dict[str, list[str]] = {k: [] for k in self.schemas}
 
@@ -134,55 +243,38 @@ class ChunkStore:
         df.write.parquet(at)
         self.parts[name].append(at)
 
-    def _prepare(self, batch: DataFrame, number: str, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Rows (n, id, t), distinct texts (t, text) and their chunks; ``t`` names a reduced text, null where there is none."""
+    def _prepare(self, batch: DataFrame, number: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+        """Rows (n, id, t) and distinct texts (t, text); ``t`` names a reduced text, null where there is none."""
         clean = F.pandas_udf(_prepared, "string").asNondeterministic()
         rows = batch.where(F.col(number).isNotNull()).select(F.col(number).cast("bigint").alias("n"), F.col(key).cast("string").alias("id"), clean(F.col(text).cast("string")).alias("text"))
         rows = self._stage("prepared", rows.withColumn("t", F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary"))))))
         texts = rows.where("t IS NOT NULL").groupBy("t").agg(F.first("text").alias("text"))
         texts = self._stage("texts", texts)
-        p = self.p
-        cut = self._stage("cut", texts.mapInArrow(lambda it: _cut(it, p), self.schemas["chunks"]))
-        return rows.select("n", "id", "t").groupBy("n").agg(F.first("id").alias("id"), F.first("t").alias("t")), texts, cut
+        return rows.select("n", "id", "t").groupBy("n").agg(F.first("id").alias("id"), F.first("t").alias("t")), texts
 
     def accept(self, batch: DataFrame, number: str, key: str, text: str) -> None:
         """Takes all rows of a batch as accepted history."""
-        rows, texts, cut = self._prepare(batch, number, key, text)
-        self._add(rows, texts, cut)
+        rows, texts = self._prepare(batch, number, key, text)
+        self._add(rows, texts)
 
-    def _add(self, rows: DataFrame, texts: DataFrame, cut: DataFrame) -> None:
+    def _add(self, rows: DataFrame, texts: DataFrame) -> None:
         self._append("rows", rows)
         self._append("texts", texts)
-        self._append("chunks", cut)
 
-    def _links(self, texts: DataFrame, cut: DataFrame) -> DataFrame:
+    def _links(self, texts: DataFrame) -> DataFrame:
         """(a, b): the new text ``b`` keeps enough of ``a``, another new or accepted text; each pair of different texts once."""
         p = self.p
-        known = self._table("chunks").unionByName(cut).dropDuplicates(["t", "h"])
-        often = known.groupBy("h").agg(F.count("*").alias("df"))
-        order = W.partitionBy("t").orderBy("df", "h").rowsBetween(W.unboundedPreceding, -1)
-        # chunks that only one text holds find nothing, but they count as the rarest bytes of it
-        rare = known.join(often, "h").withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).where(
-            (F.col("df") > 1) & (F.col("before") <= p.looked_up * F.col("whole"))
-        )
-        a, b = rare.select("h", F.col("t").alias("a"), "size", "whole"), cut.select("h", F.col("t").alias("b"))
-        # chunks beyond the ones looked up hold at most (1 - looked_up) of the text: the rest of the coverage must be seen here
-        due = (p.coverage - (1 - p.looked_up)) * F.col("whole")
-        shared = a.join(b, "h").where("a != b").groupBy("a", "b").agg(F.sum("size").alias("seen"), F.first("whole").alias("whole"))
-        met = self._stage("met", shared.where(F.col("seen") >= due).select("a", "b"))
-        everything = self._table("texts").unionByName(texts).dropDuplicates(["t"])
-
-        def kept(first: pd.Series, second: pd.Series) -> pd.Series:
-            out = []
-            for x, y in zip(first, second):
-                cx, cy = chunks(x, p), chunks(y, p)
-                shared = sum(size for h, size in cx.items() if h in cy)
-                out.append(kept_share(x, y, p.run) if shared >= p.coverage * len(x) else 0.0)
-            return pd.Series(out)
-
-        share = F.pandas_udf(kept, T.DoubleType()).asNondeterministic()
-        pairs = met.join(everything.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(everything.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
-        return self._stage("links", pairs.select("a", "b", share("x", "y").alias("kept")).where(F.col("kept") >= p.kept).select("a", "b"))
+        long = lambda df: df.where(F.length("text") >= p.run)
+        known, new = long(self._table("texts").unionByName(texts).dropDuplicates(["t"])), long(texts)
+        sizes = [df.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] for df in (known, new)]
+        # small tables are parted too, so that all cores have a block
+        na, nb = max(-(-sizes[0] // p.block_a), min(6, -(-sizes[0] // 500_000)), 1), max(-(-sizes[1] // p.block_b), 1)
+        block = lambda n: F.pmod(F.xxhash64("t"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = known.select(block(na).alias("i"), every(nb).alias("j"), "t", "text")
+        right = new.select(every(na).alias("i"), block(nb).alias("j"), "t", "text")
+        pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(lambda x, y: _linked(x, y, p), "a binary, b binary")
+        return self._stage("links", pairs)
 
     @staticmethod
     def _earliest(rows: DataFrame, accepted: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -204,9 +296,9 @@ class ChunkStore:
         equal; rows with a null number take no part and a repeated number counts once; long texts are taken whole; an
         empty batch gives no rows. Numbers grow with arrival: those of a batch are above those accepted before.
         """
-        rows, texts, cut = self._prepare(batch, number, key, text)
+        rows, texts = self._prepare(batch, number, key, text)
         rows = self._stage("rows", rows)
-        links, history = self._links(texts, cut), self._table("rows")
+        links, history = self._links(texts), self._table("rows")
         first = self._stage("first", self._earliest(rows, history, links, "first_no"))
         undecided = first.where("first_no IS NULL").select("n", "id", "t")
         taken = self.spark.createDataFrame([], self.schemas["rows"])
@@ -222,5 +314,5 @@ class ChunkStore:
         again = first.where("first_no IS NULL").select("n", "id", "t").join(taken.select("n"), "n", "left_anti")
         late = self._earliest(again, taken, links, "first_no")
         found = self._stage("found", first.where("first_no IS NOT NULL").select("first_no", "n").unionByName(late.select("first_no", "n")))
-        self._add(taken, texts.join(taken.select("t").distinct(), "t", "left_semi"), cut.join(taken.select("t").distinct(), "t", "left_semi"))
+        self._add(taken, texts.join(taken.select("t").distinct(), "t", "left_semi"))
         return found
