@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemill.operators.dedupe import best_of
 
 
-def carried(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the previous snapshot of which none of the keys is in the current one: an anti-join for each key, since one join on a disjunction couldn't hash. Null keys never match."""
+def carried(previous: DataFrame, current: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Rows of the previous snapshot of which none of the keys is in the current one: an anti-join for each key, since one join on a disjunction couldn't hash. Null keys never match. Keys are compared among rows of the same ``within``."""
     for k in keys:
-        previous = previous.join(current.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+        previous = previous.join(current.where(F.col(k).isNotNull()).select(*within, k).distinct(), [*within, k], "left_anti")
     return previous
 
 
@@ -22,10 +23,18 @@ def decayed(x: Column, days: Column, start: int, per_day: int, floor: int) -> Co
     return F.least(x, F.greatest(F.lit(floor), F.lit(start) - per_day * days))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def with_previous(df: DataFrame, number: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The numbers of all deliveries after the first; their rows; and the rows of the delivery before, under the number of the one that follows. Gaps in the numbers are no deliveries."""
+    steps = df.where(F.col(number).isNotNull()).select(number).distinct()
+    steps = steps.withColumn("__tm_before", F.lag(number).over(W.orderBy(number))).where("__tm_before IS NOT NULL")
+    old = df.withColumnRenamed(number, "__tm_before").join(F.broadcast(steps), "__tm_before").select(*df.columns)
+    return steps.select(number), df.join(F.broadcast(steps.select(number)), number, "left_semi").select(*df.columns), old
+
+
+def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """All rows of both; the new one wins."""
     both = old.withColumn("__tm_p", F.lit(1)).unionByName(new.withColumn("__tm_p", F.lit(0)))
-    return best_of(both, [key], [F.col("__tm_p")]).drop("__tm_p")
+    return best_of(both, list(key), [F.col("__tm_p")]).drop("__tm_p")
 
 
 def seen_again(fresh: DataFrame, previous: DataFrame, key: str) -> DataFrame:

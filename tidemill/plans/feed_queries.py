@@ -484,6 +484,56 @@ def promotion_revert(spark: SparkSession, d: str) -> DataFrame:
     return side(1, "before").join(side(8, "after"), "id").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+# the queries above are one step of their tables, as their SQL says; these take each delivery against the one before it
+_STEPS = """WITH n AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT snapshot_no FROM feed_snapshots WHERE snapshot_no IS NOT NULL)),
+c AS (SELECT DISTINCT f.* FROM feed_snapshots f JOIN n USING (snapshot_no) WHERE n.before IS NOT NULL),
+p AS (SELECT DISTINCT f.* REPLACE (n.snapshot_no AS snapshot_no) FROM feed_snapshots f JOIN n ON f.snapshot_no = n.before)
+"""
+
+
+def _steps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return reserve.with_previous(table(spark, d, "feed_snapshots").dropDuplicates(), "snapshot_no")
+
+
+@_q(
+    f"""{_STEPS} SELECT snapshot_no, id, {_KEY} AS key, least(score, greatest(28, 66 - 3 * coalesce(verification_age_days, 0))) AS carried_score FROM p
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.snapshot_no = p.snapshot_no AND c.id = p.id)
+  AND NOT EXISTS (SELECT 1 FROM c WHERE c.snapshot_no = p.snapshot_no AND concat_ws('|', c.company, c.title) = concat_ws('|', p.company, p.title))"""
+)
+def carryover_steps(spark: SparkSession, d: str) -> DataFrame:
+    key = F.concat_ws("|", "company", "title")
+    _, new, old = _steps(spark, d)
+    kept = reserve.carried(old.withColumn("key", key), new.withColumn("key", key), ["id", "key"], ["snapshot_no"])
+    return kept.select("snapshot_no", "id", "key", reserve.decayed(F.col("score"), F.coalesce("verification_age_days", F.lit(0)), 66, 3, 28).alias("carried_score"))
+
+
+@_q(f"{_STEPS} SELECT snapshot_no, (SELECT count(DISTINCT c.id) FROM c WHERE c.snapshot_no = n.snapshot_no AND NOT EXISTS (SELECT 1 FROM p WHERE p.snapshot_no = c.snapshot_no AND p.id = c.id)) AS n_new FROM n WHERE before IS NOT NULL")
+def new_rows_steps(spark: SparkSession, d: str) -> DataFrame:
+    steps, new, old = _steps(spark, d)
+    ids = lambda df: df.where("id IS NOT NULL").select("snapshot_no", "id").distinct()
+    counts = ids(new).join(ids(old), ["snapshot_no", "id"], "left_anti").groupBy("snapshot_no").agg(F.count("*").alias("n_new"))
+    return steps.join(counts, "snapshot_no", "left").select("snapshot_no", F.coalesce("n_new", F.lit(0)).alias("n_new"))
+
+
+def _sides_sql(column: str) -> str:
+    side = lambda t: f"(SELECT snapshot_no, id, max({column}) AS s FROM {t} WHERE id IS NOT NULL GROUP BY ALL)"
+    return f"{_STEPS}, a AS {side('c')}, b AS {side('p')}"
+
+
+@_q(f"{_sides_sql('score')} SELECT coalesce(a.snapshot_no, b.snapshot_no) AS snapshot_no, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN b.s ELSE a.s END AS score FROM a FULL JOIN b ON a.snapshot_no = b.snapshot_no AND a.id = b.id")
+def stock_upsert_steps(spark: SparkSession, d: str) -> DataFrame:
+    _, new, old = _steps(spark, d)
+    side = lambda df: df.where("id IS NOT NULL").groupBy("snapshot_no", "id").agg(F.max("score").alias("score"))
+    return reserve.upsert(side(old), side(new), "snapshot_no", "id")
+
+
+@_q(f"{_sides_sql('tier')} SELECT a.snapshot_no, a.id, b.s AS before, a.s AS after FROM a JOIN b ON a.snapshot_no = b.snapshot_no AND a.id = b.id WHERE a.s IS DISTINCT FROM b.s")
+def promotion_revert_steps(spark: SparkSession, d: str) -> DataFrame:
+    _, new, old = _steps(spark, d)
+    side = lambda df, c: df.where("id IS NOT NULL").groupBy("snapshot_no", "id").agg(F.max("tier").alias(c))
+    return side(old, "before").join(side(new, "after"), ["snapshot_no", "id"]).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
 # --- learning and order -------------------------------------------------------------------------------------------
 
 _RUNS = "(SELECT event_type, day, count(*)::DOUBLE AS v FROM (SELECT event_type, ts::DATE AS day FROM events) GROUP BY ALL)"
