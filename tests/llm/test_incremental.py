@@ -1,6 +1,6 @@
 import random
 
-from tidemill.llm.incremental import ChunkStore, chunk_ends, chunks, kept_share
+from tidemill.llm.incremental import ChunkParams, ChunkStore, kept_share
 
 WORDS = "your careful reviewer must check this public caption before every session and report an unclear question to our weekly desk with some short note about that label guideline price message window garden".split()
 
@@ -10,16 +10,10 @@ def text(seed, n=70):
     return " ".join(r.choice(WORDS) + str(r.randint(0, 99)) * (r.random() < 0.2) for _ in range(n))
 
 
-def test_chunks():
-    t = "".join(text(1).split())
-    ends = chunk_ends(t)
-    assert ends[-1] == len(t) and ends == sorted(set(ends))
-    assert sum(chunks(t).values()) == len(t) and chunks("") == {}
-    moved = chunks("zzzz" + t)
-    shared = sum(n for h, n in chunks(t).items() if h in moved)
-    assert shared > 0.85 * len(t)
-    assert max(b - a for a, b in zip([0, *chunk_ends("a" * 5000)], chunk_ends("a" * 5000))) <= 256
+def test_kept_share():
     assert kept_share("abc", "abc", 16) == 1.0 and kept_share("abc", "abcd", 16) == 0.0
+    t = "".join(text(1).split())
+    assert kept_share(t, "zzzz" + t, 16) == 1.0 and kept_share(t, t[: len(t) // 2], 16) < 0.51
 
 
 def brute(rows, history):
@@ -59,34 +53,91 @@ def test_ingest(spark):
     assert both.ingest(df.limit(0), "no", "key", "body").count() == 0
 
 
-def test_scattered_edits_and_moved_sentences():
-    from tidemill.llm.incremental import kept_pairs
-
-    r, rows = random.Random(5), ["".join(text(k).split()) for k in range(40)]
-    for t in rows[:40]:
+def test_scattered_edits_and_moved_sentences(spark):
+    """Looked up densely, every text that keeps enough is found, however its runs lie."""
+    r, texts = random.Random(5), ["".join(text(k).split()) for k in range(40)]
+    for t in texts[:40]:
         # a change every 17 to 24 characters destroys most chunks and keeps runs of at least 16
         out, at = list(t), r.randint(0, 8)
         while at < len(t):
-            out[at] = "#"
+            out[at] = "q"
             at += r.randint(17, 24)
-        rows.append("".join(out))
+        texts.append("".join(out))
         parts = [t[k : k + 18] for k in range(0, len(t), 18)]
         r.shuffle(parts)
-        rows.append("".join(parts))
-        rows.append("".join(parts[: r.randint(8, len(parts))]))
-    rows += ["short", "a" * 16, "a" * 300, "ab" * 40, ""]
-    want = {(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if len(x) >= 16 and len(y) >= 16 and kept_share(x, y, 16) >= 0.75}
-    assert set(kept_pairs(rows, rows)) == want
-    low = [(i, j) for i, j in want if sum(n for h, n in chunks(rows[i]).items() if h in chunks(rows[j])) < 0.4 * len(rows[i])]
-    assert len(low) > 20  # what a bound on chunks would lose
-
-
-def test_ingest_finds_texts_that_share_few_chunks(spark):
-    t = text(3)
-    parts = [t[k : k + 30] for k in range(0, len(t), 30)]
-    moved = "".join(x + "#" for x in sorted(parts))
-    rows = [(1, 0, None, t), (2, 1, None, "".join(w + ("q" if k % 5 == 4 else "") for k, w in enumerate(t.split(" ")))), (3, 1, None, moved)]
+        texts.append("".join(parts))
+        texts.append("".join(parts[: r.randint(8, len(parts))]))
+    texts += ["short", "a" * 16, "a" * 300, "ab" * 40, "", "ab" * 4000]
+    rows = [(k, 0 if k < 20 else 1 + k % 3, None, t) for k, t in enumerate(texts)]
+    rows = [(n, *row[1:]) for n, row in enumerate(sorted(rows, key=lambda x: x[1]))]
     df = spark.createDataFrame(rows, "no bigint, batch int, key string, body string")
-    store = ChunkStore(spark)
+    store = ChunkStore(spark, params=ChunkParams(dense_below=1 << 40, buckets=4))
     store.accept(df.where("batch = 0"), "no", "key", "body")
-    assert {r["n"]: r["first_no"] for r in store.ingest(df.where("batch = 1"), "no", "key", "body").collect()} == brute(rows, 0)
+    got = {x["n"]: x["first_no"] for k in (1, 2, 3) for x in store.ingest(df.where(f"batch = {k}"), "no", "key", "body").collect()}
+    want = brute(rows, 0)
+    assert got == want and len(want) > 80
+
+
+def test_what_is_found_without_loss(spark):
+    """A text that holds wide_kept of the windows of another is a pair to be decided, whatever else is in it; short texts always are."""
+    p = ChunkParams()
+    r, rows = random.Random(8), []
+    for k in range(60):
+        t = "".join(text(k, 80).split())
+        rows.append((k, 0, None, t))
+        # pieces of 64 to 120 characters in another order, with other words between
+        parts, at = [], 0
+        while at < len(t):
+            n = r.randint(64, 120)
+            parts.append(t[at : at + n])
+            at += n
+        r.shuffle(parts)
+        rows.append((100 + k, 1, None, ("zq" * r.randint(3, 9)).join(parts)))
+        rows.append((300 + k, 0, None, t[:70]))
+        rows.append((400 + k, 1, None, t[:15] + "#" + t[3:62]))
+    df = spark.createDataFrame(rows, "no bigint, batch int, key string, body string")
+    store = ChunkStore(spark, params=p)
+    store.accept(df.where("batch = 0"), "no", "key", "body")
+    got = {x["n"]: x["first_no"] for x in store.ingest(df.where("batch = 1"), "no", "key", "body").collect()}
+    assert got == brute(rows, 0) and len(got) > 100
+
+
+def test_near_copies_meet_their_first_only(spark):
+    """Four hundred near copies in one batch, and a common line in texts that differ: rounds of few leaders give what all against all gives."""
+    r, base, line = random.Random(3), text(1, 80), " ".join(WORDS[:20])
+    rows = [(k, 0, f"i{k}", text(1000 + k)) for k in range(3)]
+    for k in range(10, 410):
+        words_ = base.split()
+        words_[r.randrange(len(words_))] = f"edit{k}"
+        rows.append((k, 1, None if k % 50 else "same", " ".join(words_)))
+    rows += [(500 + k, 1, None, text(2000 + k, 25) + " " + line) for k in range(60)] + [(600 + k, 1, None, text(2000 + k, 25) + " " + line + " now") for k in range(60)]
+    df = spark.createDataFrame(rows, "no bigint, batch int, key string, body string").repartition(5)
+    store = ChunkStore(spark, params=ChunkParams(leaders=4, buckets=4))
+    store.accept(df.where("batch = 0"), "no", "key", "body")
+    got = {x["n"]: x["first_no"] for x in store.ingest(df.where("batch = 1"), "no", "key", "body").collect()}
+    assert got == brute(rows, 0)
+
+
+def test_reopened_store_goes_on(spark, tmp_path):
+    rows = [(k, 0, f"id{k}", text(k)) for k in range(8)]
+    df = spark.createDataFrame(rows, "no bigint, batch int, key string, body string")
+    at = f"file://{tmp_path}/store"
+    ChunkStore(spark, at).accept(df.where("no < 4"), "no", "key", "body")
+    one = ChunkStore(spark, at)
+    assert one.ingest(df.where("no >= 4"), "no", "key", "body").count() == 0
+    broken = ChunkStore(spark, at)
+    broken._append("ids", spark.createDataFrame([("left over", 1)], "id string, n bigint"), "unfinished")
+    two = ChunkStore(spark, at)
+    again = spark.createDataFrame([(20, "id1", None), (21, None, text(6)), (22, "left over", "new words")], "no bigint, key string, body string")
+    assert {tuple(x) for x in two.ingest(again, "no", "key", "body").collect()} == {(1, 20), (6, 21)}
+
+
+def test_history_is_not_shuffled(spark):
+    store = ChunkStore(spark)
+    store.accept(spark.createDataFrame([(k, f"i{k}", text(k)) for k in range(50)], "no bigint, key string, body string"), "no", "key", "body")
+    from tidemill.llm.incremental import _MET, _entries, _met
+
+    new = _entries(spark.createDataFrame([(9, text(9))], "m bigint, text string"), store.p, "B")
+    met = store._kept("index").groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(lambda x, y: _met(x, y, None), _MET)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

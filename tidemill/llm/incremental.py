@@ -1,16 +1,21 @@
 """New batches held against everything accepted before.
 
-Each text is reduced to its letters and digits. Two texts that share a run share the gram with the smallest hash in it,
-wherever the run stands (winnowing), so the grams chosen this way tell, without loss, in which windows of an accepted
-text a run may be shared. As the accepted text must be kept up to a known number of characters, every stretch of windows
-that alone covers more characters than may be missing must be hit: its cheapest stretches are looked up among the new
-texts, and what they leave is decided by the exact share kept. Accepted and new texts meet in blocks of bounded size.
-Rows that repeat nothing are accepted in order of arrival and their texts appended.
+Each text is reduced to its letters and digits and cut at content-defined boundaries: a rolling hash runs over it, and
+every window of a fixed number of characters is represented by the gram with the smallest hash in it. The boundaries
+depend on the characters around them only, so a shared run gives shared chunks wherever it stands. A persistent table
+(chunk hash, accepted row, share of the row's windows) is kept in buckets; a new batch's chunks are shuffled to these
+buckets, the shared totals of each pair of texts are summed, and pairs with enough of them are decided by the exact
+coverage. What is accepted is appended. No ingest rewrites or shuffles the history.
+
+An accepted text need not be looked up by all of its chunks: any contiguous stretch of its windows that a repeat can't
+miss will do, and the cheapest one is kept.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,56 +26,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.leakage import stream
-from tidemill.session import fresh_path
+from tidemill.llm.leakage import _grams, stream
+from tidemill.session import discard, fresh_path, publish, published
 
 
 @dataclass(frozen=True)
 class ChunkParams:
-    """``mean`` and ``most`` size of a chunk in characters; the least share of the accepted text kept, measured by shared runs of at least ``run`` characters; the most characters of a block of accepted and of new texts."""
+    """``kept`` is the least share of an accepted text that a repeat has in runs of at least ``run`` characters.
+
+    Pairs to be decided are found without loss where the new text holds ``wide_kept`` of the accepted one's windows of
+    ``wide`` characters. Accepted texts of fewer than ``dense_below`` characters are looked up so that every repeat is
+    found, however its runs lie; a larger value extends that to longer texts, at the price of many more pairs to count.
+    ``buckets`` is that of the kept tables and fixed when a store is made; ``leaders`` is how many undecided texts of
+    one batch that share a chunk are looked at in the first round (eight times as many in each further one).
+    """
 
-    mean: int = 16
-    most: int = 256
-    window: int = 4
     kept: float = 0.75
     run: int = 16
-    block_a: int = 4_000_000
-    block_b: int = 8_000_000
-
-
-def chunk_ends(text: str, p: ChunkParams = ChunkParams()) -> list[int]:
-    """Ends of the chunks of a text."""
-    n = len(text)
-    if not n:
-        return []
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(p.window):
-        h[k:] += codes[: n - k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) ** 3 & 0xFFFFFFFFFFFFFFFF)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    cuts = (np.flatnonzero((h >> np.uint64(33)) % np.uint64(p.mean) == 0) + 1).tolist()
-    ends, last = [], 0
-    for cut in [*cuts, n]:
-        while cut - last > p.most:
-            last += p.most
-            ends.append(last)
-        if cut - last >= 2 or cut == n > last:
-            ends.append(cut)
-            last = cut
-    return ends
-
-
-def chunks(text: str, p: ChunkParams = ChunkParams()) -> dict[int, int]:
-    """Hash and number of characters of each distinct chunk."""
-    out: dict[int, int] = {}
-    last = 0
-    for end in chunk_ends(text, p):
-        h = xxhash.xxh64_intdigest(text[last:end].encode("utf-8", "surrogatepass"))
-        h -= (h >> 63) << 64
-        out[h] = out.get(h, 0) + end - last
-        last = end
-    return out
+    wide: int = 48
+    wide_kept: float = 0.3
+    wide_least: float = 0.1
+    dense_below: int = 96
+    buckets: int = 24
+    leaders: int = 16
 
 
 def kept_share(accepted: str, other: str, run: int) -> float:
@@ -92,189 +70,317 @@ def _prepared(texts: pd.Series) -> pd.Series:
     return pd.Series([stream(t) if t else None for t in texts], dtype=object)
 
 
-def _windows(texts: Sequence[str], run: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``run`` characters of the texts in a row the smallest hash of its grams; the first window of each text, all of ``run`` characters at least."""
-    q = run * 3 // 4
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(codes) - q + 1, np.uint64)
-    for k in range(q):
-        h += codes[k : k + len(h)]
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    least = h[: len(codes) - run + 1].copy()
-    for k in range(1, run - q + 1):
-        np.minimum(least, h[k : k + len(least)], out=least)
-    return least, np.cumsum([0, *map(len, texts)])
-
-
-def _batched(texts: Sequence[str], run: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, window hashes) of each text of at least ``run`` characters."""
-    at = 0
-    while at < len(texts):
-        part, size = [], 0
-        while at < len(texts) and size < 250_000:
-            if len(texts[at]) >= run:
-                part.append(at)
-                size += len(texts[at])
-            at += 1
-        if part:
-            least, first = _windows([texts[i] for i in part], run)
-            for i, start in zip(part, first.tolist()):
-                yield i, least[start : start + len(texts[i]) - run + 1]
-
-
-def _heads(windows: np.ndarray) -> np.ndarray:
-    """Where a window's hash is another than that of the window before."""
-    return np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]]))
-
-
-def _covered(shared: np.ndarray, run: int) -> int:
-    """Characters that lie in the windows marked."""
-    at = np.flatnonzero(shared)
-    return int(np.minimum(np.diff(at), run).sum()) + run if len(at) else 0
-
-
-def _stretches(cost: np.ndarray, missing: int, run: int) -> list[tuple[int, int, int]]:
-    """(cost, from, to) of stretches of windows that alone cover more than ``missing`` characters, cheapest first."""
+def _windows(codes: np.ndarray, run: int, q: int) -> np.ndarray:
+    """For each window of ``run`` characters the smallest hash of its grams of ``q`` characters."""
+    h = _grams(codes, q)
+    width, step, least = run - q + 1, 1, h
+    while step * 2 <= width:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    if step < width:
+        least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
+    return least
+
+
+def _gram_of(run: int) -> int:
+    """The largest power of two that leaves several grams in a window."""
+    return 1 << max(2, int(math.log2(run * 3 / 4)))
+
+
+@dataclass
+class _Heads:
+    """The chunks of a few texts: where each begins, its hash, and of how many windows it is the smallest gram."""
+
+    hashes: np.ndarray
+    owner: np.ndarray
+    at: np.ndarray
+    windows: np.ndarray
+    n: np.ndarray
+
+
+def _heads(texts: Sequence[str], run: int, seed: int) -> _Heads | None:
+    """None where all texts are shorter than ``run``."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    n = np.maximum(lengths - run + 1, 0)
+    if not n.any():
+        return None
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    least = _windows(codes, run, _gram_of(run))
+    owner = np.repeat(np.arange(len(texts)), n)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    h = least[np.repeat(np.cumsum(lengths) - lengths, n) + within]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+    windows = np.diff(np.append(first, len(h)))
+    with np.errstate(over="ignore"):
+        hashes = (h[first] ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(32)
+    return _Heads(hashes, owner[first], within[first], windows, n)
+
+
+def _probes(texts: Sequence[str], run: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and owners of all chunks, each once for a text."""
+    found = _heads(texts, run, seed)
+    if found is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    order = np.lexsort((found.owner, found.hashes))
+    h, o = found.hashes[order], found.owner[order]
+    once = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
+    return h[once], o[once]
+
+
+def _stretch(cost: np.ndarray, dense: bool, length: int, p: ChunkParams) -> tuple[int, int]:
+    """From and to of the cheapest stretch of windows that no repeat can miss."""
     n = len(cost)
     total = np.concatenate([[0], np.cumsum(cost)])
-    # at either end of a text, characters lie in fewer windows than inside it
-    ends = min(missing + 1, n)
-    found = {(int(total[ends]), 0, ends), (int(total[n] - total[n - ends]), n - ends, n)}
-    inner = missing + run
-    if inner < n:
-        sums = total[inner:] - total[:-inner]
-        best = int(sums.argmin())
-        found |= {(int(sums[k]), k, k + inner) for k in {best, *range(0, n - inner + 1, inner)}}
-    return sorted(found)
-
-
-def kept_pairs(accepted: Sequence[str], new: Sequence[str], p: ChunkParams = ChunkParams()) -> list[tuple[int, int]]:
-    """All (i, j) for which ``new[j]`` keeps enough of ``accepted[i]``; texts shorter than a run have no part in it."""
-    hashes, owners = [], []
-    for j, windows in _batched(new, p.run):
-        values = np.unique(windows)
-        hashes.append(values)
-        owners.append(np.full(len(values), j, np.int32))
-    if not hashes:
-        return []
-    length = np.zeros(len(new) + 1, np.int64)
-    for j, values in zip(owners, hashes):
-        length[j[0] + 1] = len(values)
-    first_of = np.cumsum(length)
-    all_hashes, owner = np.concatenate(hashes), np.concatenate(owners)
-    del hashes, owners
-    known, number = np.unique(all_hashes, return_inverse=True)
-    number = number.astype(np.int32)
-    del all_hashes
-    holders = owner[np.argsort(number, kind="stable")]
-    held = np.bincount(number, minlength=len(known))
-    start, held = np.concatenate([[0], np.cumsum(held)]), np.append(held, 0)
-    mark, out = np.zeros(len(known) + 1, bool), []
-
-    def holding(ids: np.ndarray) -> np.ndarray:
-        """Which new texts hold one of the hashes."""
-        hit = np.zeros(len(new), bool)
-        ids = ids[ids < len(known)]
-        if len(ids):
-            hit[np.concatenate([holders[x:y] for x, y in zip(start[ids].tolist(), start[ids + 1].tolist())])] = True
-        return hit
-
-    for i, windows in _batched(accepted, p.run):
-        heads = _heads(windows)
-        at = np.minimum(np.searchsorted(known, windows[heads]), len(known) - 1)
-        ids = np.where(known[at] == windows[heads], at, len(known))
-        of_window = np.repeat(ids, np.diff(np.append(heads, len(windows))))
-        x = accepted[i]
-        missing = len(x) - math.ceil(p.kept * len(x) - 1e-9)
-        if _covered(of_window < len(known), p.run) < len(x) - missing:
+    if dense:
+        # at either end of a text, characters lie in fewer windows than inside it
+        missing = length - math.ceil(p.kept * length - 1e-9)
+        ends, inner = min(missing + 1, n), missing + p.run
+        found = [(total[ends], 0, ends), (total[n] - total[n - ends], n - ends, n)]
+    else:
+        inner, found = min(n, math.ceil(n * (1 - p.wide_kept + p.wide_least))), []
+    if inner < n or not found:
+        sums = total[inner:] - total[: n + 1 - inner]
+        k = int(sums.argmin())
+        found.append((sums[k], k, k + inner))
+    return min(found)[1:]
+
+
+def _index(texts: Sequence[str], p: ChunkParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, owners and shares of the chunks by which accepted texts are looked up.
+
+    A chunk's share is that of the text's windows which it represents, or 1 where sharing it once is enough. What a chunk
+    costs is judged by how many texts at hand have it; that decides which stretch is taken, not what is found.
+    """
+    hashes, owners, shares = [], [], []
+    short = np.array([len(t) < p.dense_below for t in texts])
+    for dense, run, seed in ((True, p.run, 1), (False, p.wide, 2)):
+        chosen = np.flatnonzero(short == dense)
+        found = _heads([texts[i] for i in chosen], run, seed) if len(chosen) else None
+        if found is None:
             continue
-        cost = np.zeros(len(windows), np.int64)
-        cost[heads] = held[ids]
-        found = None
-        for price, a, b in _stretches(cost, missing, p.run):
-            # a further stretch is looked up while that is cheaper than to decide the pairs left
-            if found is not None and (len(found) < 5 or price > 3000 * len(found)):
-                break
-            within = np.concatenate([of_window[a : a + 1], ids[(heads > a) & (heads < b)]])
-            hit = holding(within)
-            found = np.flatnonzero(hit) if found is None else found[hit[found]]
-            if not len(found):
-                break
-        for j in found.tolist():
-            mine = number[first_of[j] : first_of[j + 1]]
-            mark[mine] = True
-            share = _covered(mark[of_window], p.run)
-            mark[mine] = False
-            if share >= len(x) - missing and kept_share(x, new[j], p.run) >= p.kept:
-                out.append((i, j))
-    return out
-
-
-def _linked(accepted: pa.Table, new: pa.Table, p: ChunkParams) -> pa.Table:
-    ta, tb = accepted["t"].to_pylist(), new["t"].to_pylist()
-    pairs = [(ta[i], tb[j]) for i, j in kept_pairs(accepted["text"].to_pylist(), new["text"].to_pylist(), p) if ta[i] != tb[j]] if ta and tb else []
-    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+        _, number, held = np.unique(found.hashes, return_inverse=True, return_counts=True)
+        price = held[number] - 1 + 0.001
+        first = np.searchsorted(found.owner, np.arange(len(chosen) + 1))
+        for k, i in enumerate(chosen.tolist()):
+            a, b = int(first[k]), int(first[k + 1])
+            if a == b:
+                continue
+            at, size, n = found.at[a:b], found.windows[a:b], int(found.n[k])
+            cost = np.zeros(n)
+            cost[at] = price[a:b]
+            x, y = _stretch(cost, dense, len(texts[i]), p)
+            inside = np.minimum(at + size, y) - np.maximum(at, x)
+            some = np.flatnonzero(inside > 0)
+            hashes.append(found.hashes[a:b][some])
+            owners.append(np.full(len(some), i))
+            shares.append(np.ones(len(some)) if dense else inside[some] / n)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(hashes), np.concatenate(owners), np.concatenate(shares)
+
+
+def _whole(texts: Sequence[str]) -> np.ndarray:
+    """One more chunk for each text, the text as a whole: equal texts meet by it, however short."""
+    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 3) for t in texts], np.uint64)
+
+
+#: Characters of texts handled at a time.
+_AT_ONCE = 4_000_000
+#: Pairs of chunks expanded at a time.
+_EXPANDED = 4_000_000
+_BLOB = "bucket int, side int, hashes binary, owners binary, shares binary, numbers binary"
+
+
+def _entries(texts: DataFrame, p: ChunkParams, sides: str) -> DataFrame:
+    """The chunks of texts (``m``, ``text``), packed: for each bucket one row of sorted hashes from some thousand texts.
+
+    Side 0 are chunks to be looked up, side 1 those that look up. Packed, some ten million chunks cost the shuffle and
+    the JVM a few thousand rows; their arrays are joined by numpy, bucket by bucket.
+    """
+
+    def packed(side: int, numbers: np.ndarray, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, o, w = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        order = np.argsort(h, kind="stable")
+        h, o, w = h[order], o[order].astype(np.uint32), w[order].astype(np.float32)
+        cut = [0, *np.searchsorted((h >> np.uint64(32)) * np.uint64(p.buckets) >> np.uint64(32), np.arange(1, p.buckets)).tolist(), len(h)]
+        some = [b for b in range(p.buckets) if cut[b] < cut[b + 1]]
+        blob = lambda x: pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([side] * len(some), pa.int32()), blob(h), blob(o), blob(w), pa.array([numbers.tobytes()] * len(some), pa.binary())],
+            ["bucket", "side", "hashes", "owners", "shares", "numbers"],
+        )
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_numbers, all_texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            at = 0
+            while at < len(all_texts):
+                end, size = at, 0
+                while end < len(all_texts) and size < _AT_ONCE:
+                    size += len(all_texts[end])
+                    end += 1
+                numbers, texts_ = all_numbers[at:end].astype(np.int64), all_texts[at:end]
+                at = end
+                own, whole = np.arange(len(texts_)), _whole(texts_)
+                if "A" in sides:
+                    yield packed(0, numbers, [(whole, own, np.ones(len(own))), _index(texts_, p)])
+                if "B" in sides:
+                    parts = [(*_probes(texts_, run, seed), 0) for run, seed in ((p.run, 1), (p.wide, 2)) if run != p.run or "dense" in sides]
+                    yield packed(1, numbers, [(whole, own, np.zeros(len(own))), *((h, o, np.zeros(len(h))) for h, o, _ in parts)])
+
+    return texts.select("m", "text").mapInArrow(chunked, _BLOB)
+
+
+def _unpacked(table: pa.Table, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, numbers of texts and shares of one side of a bucket."""
+    h, n, w = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for s, *blobs in zip(*(table[c].to_pylist() for c in ("side", "hashes", "owners", "shares", "numbers"))):
+        if s == side:
+            h.append(np.frombuffer(blobs[0], np.uint64))
+            n.append(np.frombuffer(blobs[3], np.int64)[np.frombuffer(blobs[1], np.uint32)])
+            w.append(np.frombuffer(blobs[2], np.float32))
+    return np.concatenate(h), np.concatenate(n), np.concatenate(w)
+
+
+_MET = "a bigint, b bigint, share float, hidden bigint"
+
+
+def _met(known: pa.Table, new: pa.Table, leaders: int | None) -> pa.Table:
+    """The pairs of texts that share chunks of one bucket, with the total of their shares.
+
+    With ``leaders``, a chunk of more texts to be looked up gives the lowest-numbered ones only, and each text that looks
+    up gets a row that tells the lowest number it may have missed (``hidden``).
+    """
+    ah, an, aw = _unpacked(known, 0)
+    bh, bn, _ = _unpacked(new, 1)
+    order = np.lexsort((an, ah)) if leaders else np.argsort(ah, kind="stable")
+    ah, an, aw = ah[order], an[order], aw[order]
+    bh_order = np.argsort(bh, kind="stable")
+    bh, bn = bh[bh_order], bn[bh_order]
+    low = np.searchsorted(ah, bh, "left")
+    n = np.searchsorted(ah, bh, "right") - low
+    hidden_b, hidden_a = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if leaders:
+        over = np.flatnonzero(n > leaders)
+        if len(over):
+            texts, which = np.unique(bn[over], return_inverse=True)
+            least = np.full(len(texts), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, an[low[over] + leaders])
+            hidden_b, hidden_a = texts, least
+        n = np.minimum(n, leaders)
+    hit = np.flatnonzero(n)
+    low, n, bn = low[hit], n[hit], bn[hit]
+    a_names, a_local = np.unique(an, return_inverse=True)
+    b_names, b_local = np.unique(bn, return_inverse=True)
+    ends, keys, totals, at = np.cumsum(n), [], [], 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _EXPANDED, "right")))
+        k = n[at:end]
+        entry = np.repeat(low[at:end] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        key, which = np.unique(a_local[entry].astype(np.int64) * len(b_names) + np.repeat(b_local[at:end], k), return_inverse=True)
+        keys.append(key)
+        totals.append(np.bincount(which, aw[entry]))
+        at = end
+    key, total = (np.concatenate(keys), np.concatenate(totals)) if keys else (np.zeros(0, np.int64), np.zeros(0))
+    a, b = a_names[key // max(1, len(b_names))] if len(key) else an[:0], b_names[key % max(1, len(b_names))] if len(key) else bn[:0]
+    apart = a != b
+    a, b, total = a[apart], b[apart], total[apart]
+    return pa.table({
+        "a": pa.concat_arrays([pa.array(a, pa.int64()), pa.nulls(len(hidden_b), pa.int64())]), "b": pa.array(np.concatenate([b, hidden_b]), pa.int64()),
+        "share": pa.array(np.concatenate([total, np.zeros(len(hidden_b))]).astype(np.float32)), "hidden": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(hidden_a, pa.int64())]),
+    })
 
 
 class ChunkStore:
-    """What has been accepted so far, in tables below ``path`` in the shared folder; each ingest adds files, none rewrites them."""
+    """What has been accepted so far, in bucketed tables below ``path`` in the shared folder; each ingest adds files, none rewrites them.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, params: ChunkParams = ChunkParams()):
-        self.spark, self.path, self.p = spark, (path or fresh_path(spark, "chunks")).rstrip("/"), params
-        self.schemas = {
-            "rows": "n bigint, id string, t binary", "texts": "t binary, text string",
-        }
-        self.parts: dict[str, list[str]] = {k: [] for k in self.schemas}
+    A manifest names what belongs to finished ingests and is swapped last, so that a broken-off ingest leaves nothing
+    behind that counts; a store made at a path that has one goes on from there.
+    """
 
-    def _table(self, name: str) -> DataFrame:
-        if not self.parts[name]:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*self.parts[name])
+    TABLES = {"index": (f"{_BLOB}, part string", "bucket"), "texts": ("m bigint, text string, part string", "m"), "ids": ("id string, n bigint, part string", "id")}
 
-    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str | None = None, params: ChunkParams = ChunkParams()):
+        self.spark, self.path, self.p = spark, (path or fresh_path(spark, "chunks")).rstrip("/"), params
+        self.name, self.stages = f"tidemill_{uuid.uuid4().hex}", []
+        state = json.loads(published(spark, f"{self.path}/MANIFEST") or "{}")
+        #: the finished ingests; whether a text to be looked up densely is among what they accepted
+        self.parts, self.dense, buckets = state.get("parts", []), state.get("dense", False), state.get("buckets", params.buckets)
+        if buckets != params.buckets:
+            raise ValueError(f"the store at {self.path} has {buckets} buckets")
+        for name, (schema, by) in self.TABLES.items():
+            spark.sql(f"CREATE TABLE {self.name}_{name} ({schema}) USING parquet CLUSTERED BY ({by}) INTO {params.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def _kept(self, name: str) -> DataFrame:
+        """A kept table, of the finished ingests only; it comes hash-partitioned by its bucket column, without a shuffle."""
+        return self.spark.table(f"{self.name}_{name}").where(F.col("part").isin(self.parts) if self.parts else F.lit(False)).drop("part")
+
+    def _append(self, name: str, df: DataFrame, part: str) -> None:
+        schema, by = self.TABLES[name]
+        rows = df.withColumn("part", F.lit(part)).select(*[c.split()[0] for c in schema.split(", ")])
+        rows.repartition(self.p.buckets, by).write.format("parquet").mode("append").bucketBy(self.p.buckets, by).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
+
+    def _stage(self, name: str, df: DataFrame, keep: bool = False) -> DataFrame:
         """Writes an intermediate result, so that later steps survive the loss of executors and don't repeat it."""
         at = fresh_path(self.spark, name)
         df.write.parquet(at)
+        if not keep:
+            self.stages.append(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def _append(self, name: str, df: DataFrame) -> None:
-        at = f"{self.path}/{name}/{len(self.parts[name])}"
-        df.write.parquet(at)
-        self.parts[name].append(at)
+    def _clear(self) -> None:
+        discard(self.spark, *self.stages)
+        self.stages = []
 
     def _prepare(self, batch: DataFrame, number: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
         """Rows (n, id, t) and distinct texts (t, text); ``t`` names a reduced text, null where there is none."""
         clean = F.pandas_udf(_prepared, "string").asNondeterministic()
         rows = batch.where(F.col(number).isNotNull()).select(F.col(number).cast("bigint").alias("n"), F.col(key).cast("string").alias("id"), clean(F.col(text).cast("string")).alias("text"))
         rows = self._stage("prepared", rows.withColumn("t", F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary"))))))
-        texts = rows.where("t IS NOT NULL").groupBy("t").agg(F.first("text").alias("text"))
-        texts = self._stage("texts", texts)
-        return rows.select("n", "id", "t").groupBy("n").agg(F.first("id").alias("id"), F.first("t").alias("t")), texts
+        return rows.groupBy("n").agg(F.first("id").alias("id"), F.first("t").alias("t")), rows.where("t IS NOT NULL").groupBy("t").agg(F.first("text").alias("text"))
+
+    @staticmethod
+    def _numbered(rows: DataFrame, texts: DataFrame) -> DataFrame:
+        """(m, t, text) of the texts of some rows; ``m`` is the smallest number of their rows."""
+        return rows.where("t IS NOT NULL").groupBy("t").agg(F.min("n").alias("m")).join(texts, "t").select("m", "t", "text")
+
+    def _has_dense(self, texts: DataFrame) -> bool:
+        return not texts.where(F.length("text") < self.p.dense_below).where(F.length("text") >= self.p.run).isEmpty()
 
     def accept(self, batch: DataFrame, number: str, key: str, text: str) -> None:
         """Takes all rows of a batch as accepted history."""
         rows, texts = self._prepare(batch, number, key, text)
         self._add(rows, texts)
+        self._clear()
 
     def _add(self, rows: DataFrame, texts: DataFrame) -> None:
-        self._append("rows", rows)
-        self._append("texts", texts)
-
-    def _links(self, texts: DataFrame) -> DataFrame:
-        """(a, b): the new text ``b`` keeps enough of ``a``, another new or accepted text; each pair of different texts once."""
-        p = self.p
-        long = lambda df: df.where(F.length("text") >= p.run)
-        known, new = long(self._table("texts").unionByName(texts).dropDuplicates(["t"])), long(texts)
-        sizes = [df.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] for df in (known, new)]
-        # small tables are parted too, so that all cores have a block
-        na, nb = max(-(-sizes[0] // p.block_a), min(6, -(-sizes[0] // 500_000)), 1), max(-(-sizes[1] // p.block_b), 1)
-        block = lambda n: F.pmod(F.xxhash64("t"), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = known.select(block(na).alias("i"), every(nb).alias("j"), "t", "text")
-        right = new.select(every(na).alias("i"), block(nb).alias("j"), "t", "text")
-        pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(lambda x, y: _linked(x, y, p), "a binary, b binary")
-        return self._stage("links", pairs)
+        part = uuid.uuid4().hex
+        new = self._stage("accepted-texts", self._numbered(rows, texts).select("m", "text"))
+        self._append("texts", new, part)
+        self._append("index", _entries(new, self.p, "A"), part)
+        self._append("ids", rows.where("id IS NOT NULL").groupBy("id").agg(F.min("n").alias("n")), part)
+        dense, parts = self.dense or self._has_dense(new), [*self.parts, part]
+        publish(self.spark, f"{self.path}/MANIFEST", json.dumps({"parts": parts, "dense": dense, "buckets": self.p.buckets}))
+        self.parts, self.dense = parts, dense
+
+    def _meet(self, known: DataFrame, new: DataFrame, leaders: int | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of texts that share enough chunks to be decided, and (b, hidden) of texts that may have missed some."""
+        least = self.p.wide_least * 0.999
+        met = known.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(lambda x, y: _met(x, y, leaders), _MET)
+        if not leaders:
+            pairs = met.groupBy("a", "b").agg(F.sum("share").alias("share")).where(F.col("share") >= least)
+            return self._stage("pairs", pairs.select("a", "b")), self.spark.createDataFrame([], "b bigint, hidden bigint")
+        totals = self._stage("pairs", met.groupBy("a", "b").agg(F.sum("share").alias("share"), F.min("hidden").alias("hidden")).where(F.col("a").isNull() | (F.col("share") >= least)))
+        return totals.where("a IS NOT NULL").select("a", "b"), totals.where("a IS NULL").select("b", "hidden")
+
+    def _decided(self, pairs: DataFrame, known: DataFrame, new: DataFrame) -> DataFrame:
+        """The pairs (a, ta, b, tb) in which ``b`` keeps enough of ``a``; of both sides only the texts of such pairs are fetched."""
+        run, kept = self.p.run, self.p.kept
+        share = F.pandas_udf(lambda x, y: pd.Series([kept_share(s, t, run) for s, t in zip(x, y)]), "double").asNondeterministic()
+        a, b = known.select(F.col("m").alias("a"), F.col("text").alias("x"), *([F.col("t").alias("ta")] if "t" in known.columns else [])), new.select(F.col("m").alias("b"), F.col("text").alias("y"), F.col("t").alias("tb"))
+        both = a.join(pairs.hint("shuffle_hash"), "a").join(b, "b")
+        return both.withColumn("kept", share("x", "y")).where(F.col("kept") >= kept).drop("x", "y", "kept")
 
     @staticmethod
     def _earliest(rows: DataFrame, accepted: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -287,6 +393,26 @@ class ChunkStore:
         earlier = lambda c: F.when(F.col(c) < F.col("n"), F.col(c))
         return both.withColumn(name, F.least(earlier("by_id"), earlier("by_text"))).drop("by_id", "by_text")
 
+    def _against_history(self, rows: DataFrame, texts: DataFrame) -> DataFrame:
+        """Adds ``first_no``: the earliest row accepted by former ingests that a row repeats."""
+        if not self.parts:
+            return rows.withColumn("first_no", F.lit(None).cast("bigint"))
+        new = self._stage("texts", self._numbered(rows, texts))
+        sides = "B dense" if self.dense else "B"
+        pairs, _ = self._meet(self._kept("index"), _entries(new, self.p, sides), None)
+        of_text = self._decided(pairs, self._kept("texts"), new).groupBy(F.col("tb").alias("t")).agg(F.min("a").alias("by_text"))
+        ids = rows.where("id IS NOT NULL").select("id").distinct()
+        of_id = self._kept("ids").join(ids.hint("shuffle_hash"), "id").groupBy("id").agg(F.min("n").alias("by_id"))
+        return rows.join(of_text, "t", "left").join(of_id, "id", "left").withColumn("first_no", F.least("by_text", "by_id")).select("n", "id", "t", "first_no")
+
+    def _links(self, known: DataFrame, rows: DataFrame, texts: DataFrame, leaders: int | None) -> tuple[DataFrame, DataFrame]:
+        """(a, b) names of different texts of a batch, the second keeping enough of the first; (t, hidden) of texts that may have missed some."""
+        to, by = self._stage("texts", self._numbered(known, texts)), self._stage("texts", self._numbered(rows, texts))
+        sides = "dense" if self._has_dense(to) else ""
+        pairs, hidden = self._meet(_entries(to, self.p, "A"), _entries(by, self.p, f"B {sides}"), leaders)
+        found = self._decided(pairs, to, by).where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+        return self._stage("links", found.distinct()), by.join(hidden, by["m"] == hidden["b"]).select("t", "hidden")
+
     def ingest(self, batch: DataFrame, number: str, key: str, text: str) -> DataFrame:
         """Holds a batch against all accepted rows and its own earlier ones; accepts what repeats nothing.
 
@@ -295,24 +421,39 @@ class ChunkStore:
         and empty texts, and those without a letter or digit, match nothing by text; texts shorter than a run must be
         equal; rows with a null number take no part and a repeated number counts once; long texts are taken whole; an
         empty batch gives no rows. Numbers grow with arrival: those of a batch are above those accepted before.
+
+        Within the batch only the first few undecided texts that share a chunk are looked at in a round. Those that
+        repeat nothing are accepted, their copies drop out, and what may have missed an earlier text goes on to the next
+        round, so that a group of near copies is held against its first members instead of all against all.
         """
         rows, texts = self._prepare(batch, number, key, text)
-        rows = self._stage("rows", rows)
-        links, history = self._links(texts), self._table("rows")
-        first = self._stage("first", self._earliest(rows, history, links, "first_no"))
-        undecided = first.where("first_no IS NULL").select("n", "id", "t")
-        taken = self.spark.createDataFrame([], self.schemas["rows"])
-        # rows without an earlier undecided one that they might repeat are accepted, rows that repeat these are not, and so on
-        while True:
-            round_ = self._earliest(undecided, undecided, links, "open")
-            now = self._stage("accepted", round_.where("open IS NULL").select("n", "id", "t"))
-            taken = taken.unionByName(now)
-            rest = self._earliest(round_.where("open IS NOT NULL").select("n", "id", "t"), now, links, "hit")
-            undecided = self._stage("undecided", rest.where("hit IS NULL").select("n", "id", "t"))
-            if undecided.isEmpty():
-                break
-        again = first.where("first_no IS NULL").select("n", "id", "t").join(taken.select("n"), "n", "left_anti")
-        late = self._earliest(again, taken, links, "first_no")
-        found = self._stage("found", first.where("first_no IS NOT NULL").select("first_no", "n").unionByName(late.select("first_no", "n")))
-        self._add(taken, texts.join(taken.select("t").distinct(), "t", "left_semi"))
+        rows, texts = self._stage("rows", rows), self._stage("texts", texts)
+        first = self._stage("first", self._against_history(rows, texts))
+        mine = ["n", "id", "t"]
+        empty = lambda schema: self.spark.createDataFrame([], schema)
+        left = self._stage("left", first.where("first_no IS NULL").select(*mine))
+        undecided, taken, links, hidden = left, empty("n bigint, id string, t binary"), None, None
+        leaders, missed = self.p.leaders, False
+        while not undecided.isEmpty():
+            found, hidden = self._links(undecided.unionByName(taken), undecided, texts, leaders)
+            links = found if links is None else links.unionByName(found)
+            hidden = hidden.groupBy("t").agg(F.min("hidden").alias("hidden"))
+            missed, leaders = missed or not hidden.isEmpty(), leaders * 8
+            while True:
+                # accepted are rows without an earlier undecided one that they repeat, or might repeat unseen
+                round_ = self._earliest(undecided, undecided, links, "open").join(hidden, "t", "left").withColumn("open", F.least("open", F.when(F.col("hidden") < F.col("n"), F.col("hidden"))))
+                round_ = self._stage("round", round_.select(*mine, "open"))
+                now = round_.where("open IS NULL").select(*mine)
+                rest = self._earliest(round_.where("open IS NOT NULL").select(*mine), now, links, "hit")
+                undecided = self._stage("undecided", rest.where("hit IS NULL").select(*mine))
+                taken = taken.unionByName(now)
+                if now.isEmpty() or undecided.isEmpty():
+                    break
+        again = left.join(taken.select("n"), "n", "left_anti")
+        if missed:
+            links, _ = self._links(taken, again, texts, None)
+        late = self._earliest(again, taken, links if links is not None else empty("a binary, b binary"), "first_no")
+        found = self._stage("found", first.where("first_no IS NOT NULL").select("first_no", "n").unionByName(late.select("first_no", "n")), keep=True)
+        self._add(taken, texts)
+        self._clear()
         return found
