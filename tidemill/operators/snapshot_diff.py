@@ -1,20 +1,21 @@
 """What changed between full snapshots of a table.
 
-An index of the last snapshot holds one row for each key: the key and a 64-bit hash pair of its compared columns,
-hash-partitioned into a fixed number of buckets. A new delivery is reduced to the same form, probed against the index
-bucket by bucket, and only for keys whose hashes differ are the old values fetched. Then the new index takes the
-place of the old one.
+An index of the last snapshot is kept: one row for each key, with a 128-bit hash of its compared columns, in a bucketed
+table. A new delivery is reduced to the same form and probed against the index, bucket by bucket and without a shuffle
+of either; old values are fetched for the changed keys only. Then a pointer moves to the new index.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import fresh_path
+from tidemill.session import discard, fresh_path, publish, published
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
@@ -24,23 +25,20 @@ def _cells(columns: Sequence[str]) -> list[Column]:
     return [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
 
 
-def index_of(delivery: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """The index of one delivery: ``k``, ``h1`` and ``h2``, one row for each non-null key.
+def index_of(delivery: DataFrame, key: str, columns: Sequence[str], buckets: int = 16) -> DataFrame:
+    """The index of one delivery: ``k``, ``h1`` and ``h2``, one row for each non-null key, hash-partitioned by key.
 
     Repeated rows count once. A key delivered with several different rows has the combination of all its distinct
-    rows as its value, whatever their order, so it counts as changed only when that set changes. The rows are reduced
-    map-side before the one shuffle by key.
+    rows as its value, whatever their order, so it counts as changed exactly when that set changes. Repeats are dropped
+    before the first shuffle, so a key that holds most rows costs each task one row.
     """
     h1, h2 = F.xxhash64(F.lit(1), *_cells(columns)), F.xxhash64(F.lit(2), *_cells(columns))
-    rows = delivery.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), h1.alias("h1"), h2.alias("h2"))
-    # min and max of both hashes tell sets of one or two rows apart; the xor of the distinct ones would need a second pass
-    return rows.groupBy("k").agg(
-        F.xxhash64(F.min("h1"), F.max("h1")).alias("h1"), F.xxhash64(F.min("h2"), F.max("h2")).alias("h2")
-    )
+    rows = delivery.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), h1.alias("h1"), h2.alias("h2")).distinct()
+    return rows.repartition(buckets, "k").groupBy("k").agg(F.bit_xor("h1").alias("h1"), F.xxhash64(F.bit_xor("h2"), F.count("*")).alias("h2"))
 
 
 def probe(index: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``k`` and ``change`` of the keys that differ between two indexes; both are partitioned by key, so this only merges."""
+    """``k`` and ``change`` of the keys that differ between two indexes; where both are bucketed by key, nothing is shuffled."""
     old, new = index.select("k", F.col("h1").alias("o1"), F.col("h2").alias("o2")), fresh.select("k", F.col("h1").alias("n1"), F.col("h2").alias("n2"))
     both = old.join(new, "k", "full_outer")
     change = (
@@ -56,23 +54,19 @@ def deliveries(df: DataFrame, number: str) -> list[int]:
     return [r[0] for r in df.where(F.col(number).isNotNull()).select(number).distinct().orderBy(number).collect()]
 
 
-def diff_all(df: DataFrame, number: str, key: str, columns: Sequence[str]) -> DataFrame:
+def diff_all(df: DataFrame, number: str, key: str, columns: Sequence[str], buckets: int = 16) -> DataFrame:
     """``number``, ``key`` and ``change`` for each delivery after the first, against the delivery before it.
 
-    Gaps in the numbers are no deliveries. Null keys and repeated rows count for nothing; an empty table or a single
-    delivery gives no rows; other columns, whatever their names, take no part. Each delivery's index is built with one
-    shuffle by key and used twice (as the new one, then as the old one).
+    The deliveries of the table are applied one after the other to a :class:`SnapshotIndex`. Gaps in the numbers are no
+    deliveries. Null keys and repeated rows count for nothing; an empty table or a single delivery gives no rows; other
+    columns, whatever their names, take no part.
     """
-    out, old = None, None
+    kind = df.schema[number].dataType
+    index, out = SnapshotIndex(df.sparkSession, fresh_path(df.sparkSession, "snapshots"), key, columns, buckets), []
     for n in deliveries(df, number):
-        new = index_of(df.where(F.col(number) == n), key, columns)
-        if old is not None:
-            step = probe(old, new).select(F.lit(n).cast(df.schema[number].dataType).alias(number), F.col("k").alias(key), "change")
-            out = step if out is None else out.unionByName(step)
-        old = new
-    if out is None:
-        return df.sparkSession.createDataFrame([], f"`{number}` {df.schema[number].dataType.simpleString()}, `{key}` string, change string")
-    return out
+        found = index.apply(df.where(F.col(number) == n))
+        out.append(found.select(F.lit(n).cast(kind).alias(number), F.col("k").alias(key), "change"))
+    return reduce(DataFrame.unionByName, out) if out else df.sparkSession.createDataFrame([], f"`{number}` {kind.simpleString()}, `{key}` string, change string")
 
 
 def changed_values(old: DataFrame, new: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -95,58 +89,64 @@ def changed_values(old: DataFrame, new: DataFrame, changes: DataFrame, key: str,
 
 
 class SnapshotIndex:
-    """The index kept between runs: bucketed files below ``path`` and a small pointer file to the current version."""
+    """The index kept between runs: bucketed tables of the last two deliveries below ``path`` and a pointer to the current version."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, columns: Sequence[str], buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, key: str, columns: Sequence[str], buckets: int = 16):
         self.spark, self.path, self.key, self.columns, self.buckets = spark, path.rstrip("/"), key, list(columns), buckets
-
-    def _pointer(self) -> str:
-        return f"{self.path}/CURRENT"
+        self.tables: dict[str, str] = {}
 
     def current(self) -> dict | None:
-        """The current version (its index and its values), or None before the first delivery."""
-        try:
-            text = self.spark.read.text(self._pointer()).collect()
-        except Exception as error:  # the path doesn't exist yet
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-        return json.loads(text[0][0])
-
-    def _bucketed(self, index: DataFrame) -> DataFrame:
-        return index.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(self.buckets)).cast("int"))
+        """The current version (``version``, ``before``, ``schema`` of its values), or None before the first delivery."""
+        text = published(self.spark, f"{self.path}/CURRENT")
+        return json.loads(text) if text else None
+
+    def _write(self, df: DataFrame, version: str, what: str) -> None:
+        name = self.tables[f"{version}/{what}"] = f"tidemill_{version}_{what}"
+        df.write.format("parquet").bucketBy(self.buckets, "k").option("path", f"{self.path}/{version}/{what}").saveAsTable(name)
+
+    def _read(self, version: str, what: str, schema: str) -> DataFrame:
+        """A kept table, hash-partitioned by key; one that an earlier session wrote is declared to this one first."""
+        at = f"{version}/{what}"
+        if at not in self.tables:
+            self.tables[at] = f"tidemill_{version}_{what}_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.tables[at]} ({schema}) USING parquet CLUSTERED BY (k) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{at}'")
+        return self.spark.table(self.tables[at])
+
+    def _index(self, state: dict, version: str) -> DataFrame:
+        return self._read(version, "index", f"k {state['key']}, h1 bigint, h2 bigint")
+
+    def _values(self, state: dict, version: str) -> DataFrame:
+        return self._read(version, "rows", state["schema"])
 
     def apply(self, delivery: DataFrame) -> DataFrame:
         """Changes of ``delivery`` against the index (``k``, ``change``); then the index is swapped.
 
-        The first delivery gives no changes. The new version is written completely before the pointer moves to it, so
-        a failed run leaves the old version in place.
+        The first delivery gives no changes. The new version is written completely before the pointer moves to it in one
+        step, so a run that breaks off anywhere leaves the old version in place and the delivery can be applied again.
         """
-        version = fresh_path(self.spark, "snapshot").rpartition("/")[2]
-        fresh, values, changes = (f"{self.path}/{version}/{x}" for x in ("index", "values", "changes"))
-        delivery.where(F.col(self.key).isNotNull()).select(self.key, *self.columns).write.parquet(values)
-        self._bucketed(index_of(self.spark.read.parquet(values), self.key, self.columns)).repartition(
-            self.buckets, "bucket"
-        ).write.partitionBy("bucket").parquet(fresh)
-        old, new = self.current(), self.spark.read.parquet(fresh)
-        if old is None:
-            found = new.select("k", F.lit("").alias("change")).limit(0)
-        else:
-            both = self.spark.read.parquet(f"{self.path}/{old['version']}/index")
-            found = probe(both, new)
-        found.write.parquet(changes)
-        self.spark.createDataFrame([(json.dumps({"version": version, "before": (old or {}).get("version")}),)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
-        return self.spark.read.parquet(changes)
+        version, old = uuid.uuid4().hex, self.current()
+        if old and old["buckets"] != self.buckets:
+            raise ValueError(f"the index at {self.path} has {old['buckets']} buckets")
+        values = delivery.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("k"), *[F.col(c).alias(f"v_{c}") for c in self.columns])
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema)
+        state = {"version": version, "before": (old or {}).get("version"), "schema": schema, "key": values.schema["k"].dataType.simpleString(), "buckets": self.buckets}
+        self._write(values.distinct().repartition(self.buckets, "k"), version, "rows")
+        self._write(index_of(self._values(state, version), "k", [f"v_{c}" for c in self.columns], self.buckets), version, "index")
+        fresh = self._index(state, version)
+        found = probe(self._index(old, old["version"]), fresh) if old else fresh.select("k", F.lit("").alias("change")).limit(0)
+        found.write.parquet(f"{self.path}/{version}/changes")
+        publish(self.spark, f"{self.path}/CURRENT", json.dumps(state))
+        if old and old["before"]:  # of what lies further back, only the changes are kept
+            for what in ("index", "rows"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(f'{old["before"]}/{what}', 'tidemill_none')}")
+                discard(self.spark, f"{self.path}/{old['before']}/{what}")
+        return self.spark.read.schema(found.schema).parquet(f"{self.path}/{version}/changes")
 
     def fetch(self) -> DataFrame:
-        """Old and new values of the keys the last delivery changed."""
-        now = self.current() or {}
-        if not now.get("before"):
+        """Old and new values of the keys the last delivery changed, and of no others: key, column_name, old_value, new_value."""
+        now = self.current()
+        if not (now and now["before"]):
             return self.spark.createDataFrame([], f"`{self.key}` string, column_name string, old_value string, new_value string")
-        read = lambda v, x: self.spark.read.parquet(f"{self.path}/{v}/{x}")
-        return changed_values(read(now["before"], "values"), read(now["version"], "values"), read(now["version"], "changes"), self.key, self.columns)
-
-
-def consecutive(numbers: Sequence[int]) -> Iterator[tuple[int, int]]:
-    """Pairs of a delivery and the one before it."""
-    yield from zip(numbers[1:], numbers)
+        changes = self.spark.read.parquet(f"{self.path}/{now['version']}/changes")
+        named = [F.col("k").alias(self.key), *[F.col(f"v_{c}").alias(c) for c in self.columns]]
+        return changed_values(self._values(now, now["before"]).select(*named), self._values(now, now["version"]).select(*named), changes, self.key, self.columns)

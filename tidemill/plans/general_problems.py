@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.timestamps import normalise
 from tidemill.operators import snapshot_diff
-from tidemill.session import table
+from tidemill.session import fresh_path, table, written
 
 #: (table, field, row key, zone column, source column)
 INSTANT_FIELDS = (
@@ -44,14 +46,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each delivery, how many ids changed in each column."""
-    df, out = table(spark, sf_dir, "feed_snapshots"), None
-    for new, old in snapshot_diff.consecutive(snapshot_diff.deliveries(df, "snapshot_no")):
-        a, b = df.where(F.col("snapshot_no") == old), df.where(F.col("snapshot_no") == new)
-        changes = snapshot_diff.probe(*(snapshot_diff.index_of(x, "id", COMPARED) for x in (a, b)))
-        part = snapshot_diff.changed_values(a, b, changes, "id", COMPARED).groupBy("column_name").agg(F.count("*").alias("n_ids"))
-        part = part.select(F.lit(new).cast("bigint").alias("snapshot_no"), "column_name", "n_ids")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "snapshot_no bigint, column_name string, n_ids bigint")
+    df, out = table(spark, sf_dir, "feed_snapshots"), []
+    index = snapshot_diff.SnapshotIndex(spark, fresh_path(spark, "snapshots"), "id", COMPARED)
+    for n in snapshot_diff.deliveries(df, "snapshot_no"):
+        index.apply(df.where(F.col("snapshot_no") == n))
+        # counted now: a later delivery takes the place of the values
+        counts = written(index.fetch().groupBy("column_name").agg(F.count("*").alias("n_ids")), "changed-values")
+        out.append(counts.select(F.lit(n).cast("bigint").alias("snapshot_no"), "column_name", "n_ids"))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "snapshot_no bigint, column_name string, n_ids bigint")
 
 
 QUERIES = {"p1_found": p1_found, "p1_status": p1_status, "p4_found": p4_found, "p4_values": p4_values}
