@@ -53,3 +53,23 @@ def test_mixture(spark):
     assert got[103] == (None, None) and got[104] == (None, "invalid") and got[105] == (us(2026, 7, 7), "read")
     assert normalise(df, "value", None, "source").count() == len(rows)
     assert normalise(df.limit(0), "value").count() == 0
+
+
+def test_nothing_is_lost_by_length():
+    from tidemill.functions.timestamps import read_instant
+
+    plain = read_instant("2024-03-01T10:00:00Z")
+    assert plain[0] and read_instant("2024-03-01T10:00:00Z" + "​" * 300) == plain == read_instant(" " * 5000 + "2024-03-01 10:00:00 UTC　" * 1)
+    assert read_instant("2024-03-01T10:00:00Z" + "x" * 300) == (None, None) and read_instant("mon" * 100_000) == (None, None)
+
+
+def test_zone_abbreviations_are_readings_of_the_mixture(spark):
+    from tidemill.functions.timestamps import normalise
+
+    value = "2024-03-01 10:00:00 IST"
+    rows = [("a", value, "Asia/Kolkata")] * 6 + [("a", value, None), ("b", value, None), ("c", value, "Asia/Jerusalem")] + [("c", value, None)] + [("c", value, "Asia/Jerusalem")] * 6 + [("d", "2024-03-01 10:00:00 EST", None), ("d", "03/04/2024 10:00 CST", "Asia/Shanghai")]
+    df = spark.createDataFrame(rows, "src string, v string, tz string")
+    got = {(r["src"], r["tz"]): (r["hour"], r["time_status"]) for r in normalise(df, "v", "tz", "src").selectExpr("src", "tz", "hour(timestamp_micros(utc_us)) AS hour", "time_status").collect()}
+    assert got["a", "Asia/Kolkata"] == (4, "read") and got["a", None] == (4, "inferred") and got["b", None][1] == "ambiguous"
+    assert got["c", "Asia/Jerusalem"] == (8, "read") and got["c", None] == (8, "inferred") and got["d", None] == (15, "read") and got["d", "Asia/Shanghai"][1] == "ambiguous"
+    assert normalise(df, "v", "tz", "src").count() == len(rows)

@@ -23,16 +23,18 @@ from pyspark.sql import functions as F
 
 # Zone abbreviations and their offsets from UTC in minutes.
 ZONE_MINUTES = {
-    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
-    "EET": 120, "EEST": 180, "MSK": 180, "IST": 330, "NPT": 345, "ICT": 420, "HKT": 480, "SGT": 480, "AWST": 480,
+    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
+    "EET": 120, "EEST": 180, "MSK": 180, "NPT": 345, "ICT": 420, "HKT": 480, "SGT": 480, "AWST": 480,
     "JST": 540, "KST": 540, "ACST": 570, "AEST": 600, "ACDT": 630, "AEDT": 660, "NZST": 720, "NZDT": 780, "BRT": -180,
-    "BRST": -120, "ART": -180, "NST": -210, "NDT": -150, "AST": -240, "ADT": -180, "EST": -300, "EDT": -240,
-    "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
+    "BRST": -120, "ART": -180, "NST": -210, "NDT": -150, "ADT": -180, "EST": -300, "EDT": -240,
+    "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
+# Abbreviations that stand for more than one zone (India or Israel, British or Bangladesh, US Central or China, Atlantic or Arabia).
+ZONE_READINGS = {"IST": (330, 120), "BST": (60, 360), "CST": (-360, 480), "AST": (-240, 180)}
 _MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _MONTH_OF = {name: i for i, m in enumerate(_MONTHS, 1) for name in (m, m[:3])} | {"sept": 9}
 
-#: A value longer than this names no instant (the longest notation read here has fewer than 80 characters).
+#: What is left without blanks and invisible characters names no instant when it is longer (the longest notation has fewer than 80 characters).
 MAX_CHARS = 200
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0x2212: 0x2D}
 _BLANKS = re.compile("[\\s­᠎​-‏⁠-⁤﻿]+")
@@ -93,11 +95,17 @@ def _days(y: str, m: str | int, d: str) -> int | None:
 
 
 def read_instant(value: str | None, zone: str | None = None) -> tuple[int | None, int | None]:
-    """(main, alternative) readings of one value in UTC microseconds; the alternative is month-before-day."""
-    if value is None or len(value) > MAX_CHARS:
+    """(main, alternative) readings of one value in UTC microseconds.
+
+    The alternative is month before day, or the second zone of an abbreviation that has two; where the name in ``zone``
+    has the offset of one of these at that time, only that reading is valid.
+    """
+    if value is None:
         return None, None
     if (m := _PLAIN.fullmatch(value)) is None:
         value = _BLANKS.sub(" ", value.translate(_WIDE)).strip()
+        if len(value) > MAX_CHARS:
+            return None, None
         if m := _EPOCH.fullmatch(value):
             scale = 1_000_000 if len(m[2]) == 10 else 1_000
             us = int(m[2]) * scale + (_micros(m[3]) if scale == 1_000_000 else 0)
@@ -139,6 +147,13 @@ def read_instant(value: str | None, zone: str | None = None) -> tuple[int | None
         offset = _offset(g["off"])
         if offset is None or (g["word"] and g["word"].upper() not in ("UTC", "GMT")):
             return None, None
+    elif g["word"] and g["word"].upper() in ZONE_READINGS:
+        day = other if main is None else main
+        one, two = (_to_utc(day, day_us, None, x * 60_000_000) for x in ZONE_READINGS[g["word"].upper()])
+        if main is None or other is None or main == other:
+            named = _to_utc(day, day_us, zone, None) if zone and _zone(zone) else None
+            return (one, None) if named == one else (None, two) if named == two else (one, two)
+        offset = ZONE_READINGS[g["word"].upper()][0] * 60_000_000
     elif g["word"]:
         minutes = ZONE_MINUTES.get(g["word"].upper())
         if minutes is None:
@@ -207,7 +222,8 @@ def normalise(
     else UTC; unknown names count as UTC. Columns of ``df`` named like the two added ones are replaced; all others are
     kept as they are.
 
-    Only values of the shape ``a/b/yyyy`` can have two readings. Their statistics are three counts per source,
+    Only values of the shape ``a/b/yyyy`` and those with one of a few zone abbreviations can have two readings; each of
+    these has its own mixture. Their statistics are three counts per source,
     aggregated map-side; the mixture of each source is fitted inside the JVM on those counts and joined back to the
     open values only, so no other row is shuffled, whatever the size of a source.
     """
@@ -224,9 +240,11 @@ def normalise(
         F.coalesce(main, alt).alias("utc_us"),
         F.when(F.col(value).isNull(), None).when(F.coalesce(main, alt).isNull(), "invalid").otherwise("read").alias("time_status"),
     )
-    # a superset of the values with two readings, told apart before any Python is called; full-width digits count
+    # a superset of the values with two readings, told apart before any Python is called; full-width digits and letters count
     slashed = F.col(value).cast("string").rlike(r"(?U)\d{1,2}\s*[-/.／．－−]\s*\d{1,2}\s*[-/.／．－−]\s*\d{4}")
-    maybe = df.where(slashed).withColumn("__tm_src", F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")).withColumn("__tm_r", read)
+    shortened = F.upper(F.regexp_extract(F.translate(F.col(value).cast("string"), "ＩＢＣＡＳＴｉｂｃａｓｔ", "IBCASTibcast"), r"(?i)(?<![a-z])([IBCA]ST)(?![a-z])", 1))
+    origin = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
+    maybe = df.where(slashed | (shortened != "")).withColumn("__tm_src", F.struct(origin.alias("s"), shortened.alias("z"))).withColumn("__tm_r", read)
     stats = maybe.groupBy("__tm_src").agg(
         F.count_if(main.isNotNull() & (alt.isNull() | (main == alt))).cast("double").alias("na"),
         F.count_if(main.isNull() & alt.isNotNull()).cast("double").alias("nb"),
