@@ -105,3 +105,33 @@ def test_levels_edges(spark):
     assert [g for g in got if g[0] in (1, 2, 3, 6)] == [(1, None), (2, None), (3, None), (6, None)]
     assert all(g[1] <= 2 for g in got if g[0] in (4, 5)) and len([g for g in got if g[0] == 4]) == 2
     assert readability.levels(docs.limit(0), "k", "text", samples, "text", "reading_level").count() == 0
+
+
+def test_every_line_counts_and_wrapping_does_not():
+    import numpy as np
+
+    from tidemill.llm.readability import BUCKETS, Counts, Measure, sentences
+
+    measure = Measure(Counts({"the": 900, "notwithstanding": 2}, np.ones(BUCKETS), 5000, 100))
+    prose = "The careful reader will notice that every report which arrives must be checked before it is filed, although nobody asks. " * 3
+    words_ = prose.split()
+    wrapped = "\n".join(" ".join(words_[k : k + 7]) for k in range(0, len(words_), 7))
+    assert sentences(wrapped) and measure.features(wrapped) == measure.features(" ".join(words_))
+    assert measure.features("Interdepartmental Responsibilities\n" + prose) != measure.features(prose)
+    assert measure.features(prose + "\nNotwithstanding heterogeneity") != measure.features(prose)
+    assert sentences("Our Team\nWe work here. We rest") == ["Our Team", "We work here", "We rest"]
+
+
+def test_rare_words_do_not_share_frequent_counts(spark):
+    from tidemill.llm import readability
+
+    words_ = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(15_000)]
+    rows = [(" ".join(words_[:9_000]),), (" ".join(words_[:20] * 50),), (None,), ("",)]
+    old = readability.HEAD
+    readability.HEAD = 20
+    try:
+        counts = readability.word_counts(spark.createDataFrame(rows, "text string").repartition(3), "text")
+    finally:
+        readability.HEAD = old
+    assert len(counts.head) == 20 and counts.total == 10_000 and counts.words == 9_000 and set(counts.head.values()) == {51}
+    assert counts.tail.max() == 1.0 and readability.word_counts(spark.createDataFrame([], "text string"), "text").total == 0

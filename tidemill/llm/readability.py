@@ -1,8 +1,9 @@
 """Reading level of each document: a regularised ordinal regression calibrated to graded samples.
 
-Features: lexical diversity, word rarity, connectives, a proxy of clause depth, word and sentence length. Rarity comes from
-word counts over the whole corpus, kept in a table of a fixed number of hashed buckets, so its size doesn't grow with
-the vocabulary. The model is a proportional-odds regression with a ridge penalty, fitted on the graded samples (at most
+Features: lexical diversity, word rarity, connectives, a proxy of clause depth, word and sentence length, all over the
+whole text. Rarity comes from word counts over the whole corpus: exact ones of its most frequent words, for the others
+the mean count of the words of a hashed bucket, so the table's size doesn't grow with the vocabulary and rare words don't
+share a count with frequent ones. The model is a proportional-odds regression with a ridge penalty, fitted on the graded samples (at most
 :data:`MAX_SAMPLES` of them) on the driver.
 """
 
@@ -10,8 +11,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log
 
 import numpy as np
@@ -19,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
+from tidemill.session import written
+
+#: Words with exact counts, and buckets for all others.
+HEAD, BUCKETS = 50_000, 1 << 16
 MAX_SAMPLES = 20_000
 #: Texts of fewer words have no level.
 MIN_WORDS = 30
@@ -32,15 +38,19 @@ _HARD = frozenset("although whereas whereby inasmuch insofar notwithstanding pro
 _RELATIVE = frozenset("which who whom whose while since after before until though that".split())
 
 _HEADING_WORDS = 8
+_ENDS = (".", "!", "?", "。", '"', "”", ")", ";", ",", ":")
 
 
-def body(text: str) -> str:
-    """Without its headings: short lines that end no sentence. A text of such lines only is its own body."""
-    lines = text.splitlines()
-    if len(lines) < 2:
-        return text
-    kept = [x for x in lines if x.rstrip().endswith((".", "!", "?", "。", '"', "”", ")", ";", ",")) or len(x.split()) > _HEADING_WORDS]
-    return "\n".join(kept) if sum(len(x.split()) for x in kept) >= MIN_WORDS // 2 else text
+def sentences(text: str) -> list[str]:
+    """The sentences of a text; a short line that ends none and isn't continued by the next is one of its own."""
+    if "\n" in text:
+        lines = text.split("\n")
+        for i, x in enumerate(lines[:-1]):
+            line, after = x.strip(), lines[i + 1].lstrip()
+            if line and after and not line.endswith(_ENDS) and not after[0].islower() and not line[0].islower() and len(line.split()) <= _HEADING_WORDS:
+                lines[i] = x + "\n"
+        text = "\n".join(lines)
+    return [s for s in _STOP.split(text) if s and any(c.isalpha() for c in s)]
 
 
 def word_number(text: str | None) -> int:
@@ -57,37 +67,49 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Word counts over all documents by hashed bucket: each task sends at most one row for each bucket."""
+@dataclass
+class Counts:
+    """Word counts of a corpus: ``head`` has those of its most frequent words, ``tail`` the mean count of the others of each bucket."""
+
+    head: dict[str, int]
+    tail: np.ndarray
+    total: int
+    words: int
+
+
+def word_counts(docs: DataFrame, text: str) -> Counts:
+    """Counts over all documents. Each task sends a word once for every half million different ones it meets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(BUCKETS, np.int64), {}
+        found: Counter[str] = Counter()
+        as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
         for batch in batches:
             for t in batch.column(0):
                 if t.is_valid:
-                    for w in _WORD.findall(t.as_py().lower()):
-                        b = known.get(w)
-                        if b is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            b = known[w] = _bucket(w)
-                        total[b] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
-
-    rows = docs.select(text).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BUCKETS, np.int64)
+                    found.update(_WORD.findall(t.as_py().lower()))
+            if len(found) > 500_000:
+                yield as_batch()
+                found.clear()
+        yield as_batch()
+
+    counted = written(docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    head = {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
+    last = list(head)[-1] if len(head) == HEAD else None
+    rest = (F.col("n") < head[last]) | ((F.col("n") == head[last]) & (F.col("word") > last)) if last else F.lit(False)
+    # Spark's crc32 is that of zlib
+    rows = counted.where(rest).groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
+    total, words = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tail = np.zeros(BUCKETS)
     for r in rows:
-        counts[r["bucket"]] = r["n"]
-    return counts
+        tail[r["b"]] = r["n"] / r["k"]
+    return Counts(head, tail, total, words)
 
 
 class Measure:
     """Turns a text into its features, given the corpus's word counts."""
 
-    def __init__(self, counts: np.ndarray):
-        total = max(1, int(counts.sum()))
-        self.rarity = -np.log((counts + 0.5) / (total + 0.5 * BUCKETS))
+    def __init__(self, counts: Counts):
+        self.counts, self.size = counts, counts.total + 0.5 * counts.words + 1
         self.rare = float(-log(2e-5))
         self.words: dict[str, tuple[int, int, float, int]] = {}
 
@@ -99,20 +121,25 @@ class Measure:
                 self.words.clear()
             syllables = max(1, len(re.findall(r"[aeiouyäöüéèêáíóúà]+", w)))
             kind = 2 if w in _HARD else 1 if w in _EASY else 3 if w in _RELATIVE else 0
-            found = self.words[w] = (len(w), syllables, float(self.rarity[_bucket(w)]), kind)
+            n = self.counts.head.get(w)
+            n = float(self.counts.tail[_bucket(w)]) if n is None else n
+            found = self.words[w] = (len(w), syllables, -log((n + 0.5) / self.size), kind)
         return found
 
     def features(self, text: str | None) -> list[float] | None:
         """None for a text of fewer than :data:`MIN_WORDS` words."""
         if not text or word_number(text) < MIN_WORDS:
             return None
-        text = body(text)
         names = _WORD.findall(text.lower())
         n = len(names)
         if n < 2:
             return None
         known = list(map(self.word, names))
-        sentences = max(1, sum(1 for s in _STOP.split(text) if s and any(c.isalpha() for c in s)))
+        # the length of the sentence that the median word stands in: headings weigh by their words, and a list without full stops doesn't outweigh the rest
+        sizes = sorted(len(s.split()) for s in sentences(text))
+        half = (sum(sizes) + 1) // 2
+        length = float(max(1, next((x for x, upto in zip(sizes, accumulate(sizes)) if upto >= half), 1)))
+        per = n / length
         lengths, syllables, rarity, kinds = zip(*known)
         hard, easy, relative = kinds.count(2), kinds.count(1), kinds.count(3)
         commas = text.count(",") + text.count(";") + text.count(":")
@@ -132,7 +159,7 @@ class Measure:
         diversity = total / (n - window + 1) / window
         return [
             sum(lengths) / n, sum(x >= 9 for x in lengths) / n, sum(x >= 13 for x in lengths) / n, sum(syllables) / n,
-            log(n / sentences), log(n / (sentences + hard + easy + commas)), hard / sentences, easy / sentences, commas / sentences,
+            log(length), log(n / (per + hard + easy + commas)), hard / per, easy / per, commas / per,
             diversity, sum(rarity) / n, sum(x > self.rare for x in rarity) / n,
         ]
 
@@ -193,7 +220,7 @@ def graded(samples: DataFrame, text: str, level: str, measure: Measure) -> tuple
     return np.array([f for f, _ in found]), np.array([y for _, y in found])
 
 
-def levels(docs: DataFrame, key: str, text: str, samples: DataFrame, sample_text: str, sample_level: str, hard_from: int = 4, counts: np.ndarray | None = None) -> DataFrame:
+def levels(docs: DataFrame, key: str, text: str, samples: DataFrame, sample_text: str, sample_level: str, hard_from: int = 4, counts: Counts | None = None) -> DataFrame:
     """``key``, ``n_words``, ``level`` (1 .. 5), ``score`` (the latent difficulty) and ``p_hard``, the probability of ``hard_from`` or more.
 
     Texts of fewer than :data:`MIN_WORDS` words, null and empty ones among them, get null in the last three. Texts are
