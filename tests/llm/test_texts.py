@@ -135,3 +135,42 @@ def test_rare_words_do_not_share_frequent_counts(spark):
         readability.HEAD = old
     assert len(counts.head) == 20 and counts.total == 10_000 and counts.words == 9_000 and set(counts.head.values()) == {51}
     assert counts.tail.max() == 1.0 and readability.word_counts(spark.createDataFrame([], "text string"), "text").total == 0
+
+
+def test_edits_against_brute_force():
+    """Substitutions, insertions and deletions; also passages of so few characters that only single characters can be shared."""
+    import random
+
+    def distance_within(a, b, most):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1] <= most
+
+    r = random.Random(4)
+    for size in (1, 4):
+        item = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(18)]
+        index = leakage.build_index([(7, " ".join(item))], 15, 3)
+        for trial in range(60):
+            passage = list("".join(item[trial % 4 : trial % 4 + 15]))
+            for _ in range(r.randint(0, 5)):
+                at, kind = r.randrange(len(passage)), r.randrange(3)
+                passage[at : at + (kind != 1)] = [] if kind == 2 else [r.choice("0123456789")]
+            text = "".join(passage)
+            doc = "zzzz" * 5 + text + "yyyy" * 5
+            windows_ = ["".join(item[k : k + 15]) for k in range(4)]
+            want = any(distance_within(w, doc[a:b], 3) for w in windows_ for a in range(16, 25) for b in range(20 + len(text) - 4, 20 + len(text) + 5) if b > a)
+            assert bool(leakage.leaked_items(index, doc)) == want, (size, text, item)
+    with pytest.raises(ValueError):
+        leakage.build_index([(1, " ".join("a" * 15))], 15, 15)
+
+
+def test_blocks_in_one_pass(spark):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(20)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(2, 19))) for k in range(20)], "doc_id bigint, text string")
+    found = leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", block_chars=10)
+    assert sorted(map(tuple, found.collect())) == [(k, k) for k in range(20)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
