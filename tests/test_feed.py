@@ -65,6 +65,10 @@ def test_urls_and_ages(spark):
     assert one(spark, "３日前", S.relative_minutes(v))[0] == 3 * 1440
     assert one(spark, "30+ days ago", S.relative_minutes(v))[0] == 31 * 1440
     assert one(spark, "5 hours ago", S.relative_minutes(v))[0] == 300
+    for text, minutes in (("5+ days ago", 31 * 1440), ("45+ days ago", 45 * 1440), ("5日以上前", 31 * 1440), ("たった今", 0), (" Today ", 0), ("today only", None), ("2週間前", 20160), ("3ヵ月前", 129600), ("5+ days", None)):
+        assert one(spark, text, S.relative_minutes(v))[0] == minutes, text
+    for text, seen, ago, want in (("7", None, None, 86), ("7", 3, 2.0, 95), ("70", 9, 3.5, 28), ("0.5", 9, 1.0, 100), ("-2", 0, 9.0, 100)):
+        assert one(spark, text, S.freshness(v.cast("double"), F.lit(seen).cast("int"), F.lit(ago).cast("double")))[0] == want, text
     assert one(spark, "7", S.freshness(v.cast("double")))[0] == 84
     assert one(spark, "2.5", S.clamp(v.cast("double")))[0] == 2
     assert one(spark, "2026-02-28", S.days_left(v.cast("date")), S.paced(F.lit(240), 245, v.cast("date")))[:] == (1, 5)

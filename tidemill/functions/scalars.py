@@ -47,27 +47,40 @@ def viewed_id(url: Column, host_suffix: str, name: str = "jk") -> Column:
     return F.when(F.startswith(url, F.lit("https://")) & under(host(url), host_suffix) & path(url).rlike("^/viewjob/?$") & value.rlike("^[A-Za-z0-9_-]{6,128}$"), value)
 
 
-# Units of relative ages and their length in minutes, in the order in which they are tried.
-_UNITS = (("minutes?|mins?|分", 1), ("hours?|hrs?|時間", 60), ("days?|日", 1440), ("weeks?|週間?", 10080), ("months?|か月|ヶ月|カ月", 43200))
+# Units of relative ages and their length in minutes, in the order in which they are tried, and whole values that mean now.
+_UNITS = (("分|minutes?", 1), ("時間|hours?|hrs?", 60), ("日|days?", 1440), ("週|weeks?", 10080), ("か月|ヶ月|ヵ月|months?", 43200))
+_NOW = ("新着", "たった今", "just posted", "today")
+_MANY_DAYS = 31
 
 
 def relative_minutes(text: Column) -> Column:
-    """The age that a relative date names, in minutes; ``30+ days`` is one day more; null when it names none."""
-    ascii_ = F.lower(F.translate(text, "０１２３４５６７８９＋", "0123456789+"))
-    cases = [F.when(ascii_.rlike("just posted|today|新着|本日"), F.lit(0))]
+    """The age that a relative date names, in minutes; ``5+ days ago`` and ``5日以上前`` are at least 31 days; null when it names none."""
+    plain = F.trim(F.lower(F.translate(text, "０１２３４５６７８９＋", "0123456789+")))
+    open_ended = F.contains(plain, F.lit("+")) | F.contains(plain, F.lit("以上"))
+    days = lambda n: F.when(open_ended, F.greatest(n, F.lit(_MANY_DAYS))).otherwise(n) * 1440
+    cases = [F.when(plain.isin(*_NOW), F.lit(0))]
     for unit, minutes in _UNITS:
-        number = F.regexp_extract(ascii_, rf"(\d+)\s*\+?\s*(?:{unit})", 1).try_cast("int")
-        more = ascii_.rlike(rf"\d+\s*\+\s*(?:{unit})").cast("int") if unit.startswith("day") else F.lit(0)
-        cases.append((number + more) * minutes)
+        number = F.regexp_extract(plain, rf"(\d+)\s*(?:{unit})", 1).try_cast("int")
+        cases.append(days(number) if minutes == 1440 else number * minutes)
+    cases.append(days(F.regexp_extract(plain, r"(\d+)\+?\s*days?\s*ago", 1).try_cast("int")))
     return F.coalesce(*cases)
 
 
-def freshness(age_days: Column, steps: Sequence[tuple[float, int]] = ((1, 98), (3, 92), (7, 84), (14, 70), (30, 52), (60, 34)), rest: int = 18, unknown: int = 40) -> Column:
-    """A confidence by age; every step's bound is inside it."""
-    out = F.lit(rest)
-    for bound, value in reversed(steps):
-        out = F.when(age_days <= bound, value).otherwise(out)
-    return F.when(age_days.isNull(), unknown).otherwise(out)
+# Confidence by age in days (each bound inside its step), beyond the last step, and of an unknown age.
+FRESHNESS_STEPS, FRESHNESS_REST, FRESHNESS_UNKNOWN = ((1, 98), (3, 92), (7, 84), (14, 70), (30, 52), (60, 34)), 18, 40
+
+
+def freshness(age_days: Column, seen_count: Column | None = None, seen_days_ago: Column | None = None) -> Column:
+    """A confidence by age. A row seen before gains twice its count (1 where that is null or 0), 10 at most, and 5 more if last seen within three days."""
+    out = F.lit(FRESHNESS_REST)
+    for bound, value in reversed(FRESHNESS_STEPS):
+        out = F.when(F.greatest(F.lit(0.0), age_days) <= bound, value).otherwise(out)
+    out = F.when(age_days.isNull(), FRESHNESS_UNKNOWN).otherwise(out)
+    if seen_count is None:
+        return out
+    again = F.least(F.lit(10), 2 * F.when(seen_count != 0, seen_count).otherwise(1))
+    recent = F.when(seen_days_ago <= 3, 5).otherwise(0) if seen_days_ago is not None else F.lit(0)
+    return clamp(out + again + recent)
 
 
 def clamp(x: Column, low: int = 0, high: int = 100) -> Column:

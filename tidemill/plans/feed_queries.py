@@ -185,13 +185,15 @@ def viewed_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_q(
-    """SELECT listing_id, CASE WHEN p IS NULL THEN NULL WHEN regexp_matches(p, 'just posted|today|新着|本日') THEN 0
-  WHEN regexp_matches(p, '\\d+\\s*\\+?\\s*(minutes?|mins?|分)') THEN regexp_extract(p, '(\\d+)\\s*\\+?\\s*(minutes?|mins?|分)', 1)::INT
-  WHEN regexp_matches(p, '\\d+\\s*\\+?\\s*(hours?|hrs?|時間)') THEN regexp_extract(p, '(\\d+)\\s*\\+?\\s*(hours?|hrs?|時間)', 1)::INT * 60
-  WHEN regexp_matches(p, '\\d+\\s*\\+?\\s*(days?|日)') THEN (regexp_extract(p, '(\\d+)\\s*\\+?\\s*(days?|日)', 1)::INT + regexp_matches(p, '\\d+\\s*\\+\\s*(days?|日)')::INT) * 1440
-  WHEN regexp_matches(p, '\\d+\\s*\\+?\\s*(weeks?|週間?)') THEN regexp_extract(p, '(\\d+)\\s*\\+?\\s*(weeks?|週間?)', 1)::INT * 10080
-  WHEN regexp_matches(p, '\\d+\\s*\\+?\\s*(months?|か月|ヶ月|カ月)') THEN regexp_extract(p, '(\\d+)\\s*\\+?\\s*(months?|か月|ヶ月|カ月)', 1)::INT * 43200 END AS minutes
-FROM (SELECT listing_id, lower(translate(detected_extensions.posted_at, '０１２３４５６７８９＋', '0123456789+')) AS p FROM listings)"""
+    """SELECT listing_id, CASE WHEN p IN ('新着', 'たった今', 'just posted', 'today') THEN 0
+  WHEN regexp_matches(p, '\\d+\\s*(分|minutes?)') THEN regexp_extract(p, '(\\d+)\\s*(分|minutes?)', 1)::INT
+  WHEN regexp_matches(p, '\\d+\\s*(時間|hours?|hrs?)') THEN regexp_extract(p, '(\\d+)\\s*(時間|hours?|hrs?)', 1)::INT * 60
+  WHEN regexp_matches(p, '\\d+\\s*(日|days?)') THEN CASE WHEN regexp_matches(p, '[+]|以上') THEN greatest(31, d) ELSE d END * 1440
+  WHEN regexp_matches(p, '\\d+\\s*(週|weeks?)') THEN regexp_extract(p, '(\\d+)\\s*(週|weeks?)', 1)::INT * 10080
+  WHEN regexp_matches(p, '\\d+\\s*(か月|ヶ月|ヵ月|months?)') THEN regexp_extract(p, '(\\d+)\\s*(か月|ヶ月|ヵ月|months?)', 1)::INT * 43200
+  WHEN regexp_matches(p, '\\d+[+]?\\s*days?\\s*ago') THEN CASE WHEN regexp_matches(p, '[+]') THEN greatest(31, x) ELSE x END * 1440 END AS minutes
+FROM (SELECT *, try_cast(regexp_extract(p, '(\\d+)\\s*(日|days?)', 1) AS INT) AS d, try_cast(regexp_extract(p, '(\\d+)[+]?\\s*days?\\s*ago', 1) AS INT) AS x
+  FROM (SELECT listing_id, trim(lower(translate(detected_extensions.posted_at, '０１２３４５６７８９＋', '0123456789+'))) AS p FROM listings))"""
 )
 def relative_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "listings").select("listing_id", S.relative_minutes(F.col("detected_extensions.posted_at")).alias("minutes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemill.functions.text import clean
+from tidemill.session import discard, publish, published
 
 LISTING = (
     "title string, company_name string, location string, description string, extensions array<string>, "
@@ -34,20 +36,28 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """A Parquet snapshot; a missing one is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+    """The last good snapshot below ``path``; a missing one is empty."""
+    version = published(spark, f"{path}/CURRENT")
+    return spark.read.schema(schema).parquet(f"{path}/{version}") if version else spark.createDataFrame([], schema)
 
 
 def write_snapshot(df: DataFrame, path: str, succeeded: int) -> bool:
-    """Replaces the snapshot, unless nothing succeeded: then the last good one stays."""
+    """Replaces the snapshot, unless nothing succeeded: then the last good one stays.
+
+    The rows are written beside the old ones and a pointer moves to them in one step, so a write that fails loses
+    nothing; the snapshot before the last one is deleted.
+    """
     if succeeded <= 0:
         return False
-    df.write.mode("overwrite").parquet(path)
+    spark, version = df.sparkSession, f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    old = published(spark, f"{path}/CURRENT")
+    publish(spark, f"{path}/CURRENT", version)
+    older = published(spark, f"{path}/BEFORE")
+    if old:
+        publish(spark, f"{path}/BEFORE", old)
+    if older:
+        discard(spark, f"{path}/{older}")
     return True
 
 
