@@ -57,7 +57,7 @@ def relative_minutes(text: Column) -> Column:
     """The age that a relative date names, in minutes; ``5+ days ago`` and ``5日以上前`` are at least 31 days; null when it names none."""
     plain = F.trim(F.lower(F.translate(text, "０１２３４５６７８９＋", "0123456789+")))
     open_ended = F.contains(plain, F.lit("+")) | F.contains(plain, F.lit("以上"))
-    days = lambda n: F.when(open_ended, F.greatest(n, F.lit(_MANY_DAYS))).otherwise(n) * 1440
+    days = lambda n: F.when(open_ended & (n < _MANY_DAYS), _MANY_DAYS).otherwise(n) * 1440
     cases = [F.when(plain.isin(*_NOW), F.lit(0))]
     for unit, minutes in _UNITS:
         number = F.regexp_extract(plain, rf"(\d+)\s*(?:{unit})", 1).try_cast("int")
