@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemill.llm.incremental import ChunkParams, ChunkStore, kept_share
 
 WORDS = "your careful reviewer must check this public caption before every session and report an unclear question to our weekly desk with some short note about that label guideline price message window garden".split()
@@ -141,3 +143,50 @@ def test_history_is_not_shuffled(spark):
     met = store._kept("index").groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(lambda x, y: _met(x, y, None), _MET)
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_a_usual_line_is_not_looked_up():
+    """A line that many texts have is left out of the chunks they are looked up by, wherever it stands; what is kept still covers enough."""
+    from tidemill.llm.incremental import _index
+
+    p, line = ChunkParams(), "".join(WORDS[:12])
+    texts = ["".join(text(k, 60).split())[:230] + line + "".join(text(k + 500, 60).split())[:230] for k in range(200)]
+    hashes, owners, shares = _index(texts, p)
+    assert max(np.unique(hashes, return_counts=True)[1]) < 20
+    covered = np.bincount(owners, shares, len(texts))
+    assert covered.min() >= 1 - p.wide_kept + p.wide_least - 1e-9 and covered.max() < 0.9
+
+
+def test_ranges_of_hashes_give_what_all_at_once_gives(monkeypatch):
+    """A bucket is joined range by range, so that neither its chunks nor its pairs are held as a whole."""
+    import pyarrow as pa
+
+    from tidemill.llm import incremental
+
+    r = np.random.default_rng(1)
+
+    def packed(side, first):
+        rows = []
+        for k in range(3):
+            h = np.sort(r.integers(0, 40, 300).astype(np.uint64) << np.uint64(40))
+            rows.append({"bucket": 0, "side": side, "hashes": h.tobytes(), "owners": r.integers(0, 50, 300).astype(np.uint32).tobytes(), "shares": np.full(300, 0.25, np.float32).tobytes(), "numbers": (np.arange(50) + first + 50 * k).tobytes()})
+        return pa.Table.from_pylist(rows)
+
+    def total(leaders):
+        pairs, hidden = {}, {}
+        for x in incremental._met(known, new, leaders).to_pylist():
+            if x["a"] is None:
+                hidden[x["b"]] = min(hidden.get(x["b"], x["hidden"]), x["hidden"])
+            else:
+                pairs[x["a"], x["b"]] = pairs.get((x["a"], x["b"]), 0) + x["share"]
+        return pairs, hidden
+
+    known, new = packed(0, 0), packed(1, 100)
+    whole = [total(None), total(5)]
+    assert len(whole[0][0]) > 1000 and whole[1][1]
+    sizes, expand = [], np.repeat
+    monkeypatch.setattr(incremental, "_HELD", 100)
+    monkeypatch.setattr(incremental, "_EXPANDED", 200)
+    monkeypatch.setattr(incremental.np, "repeat", lambda a, n: (sizes.append(int(np.sum(n))), expand(a, n))[1])
+    assert [total(None), total(5)] == whole
+    assert max(sizes) < 1000
