@@ -74,3 +74,19 @@ def test_a_large_group_is_never_gathered(spark):
     assert survivor.latest_rows(df, "g", "n", [order.place(F.col("v"))]).first()["n_rows"] == 200_000
     plan = survivor.latest_rows(df, "g", "n", [order.place(F.col("v"))])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and "Sort" not in plan
+
+
+def test_p5_found_runs_no_stage_that_changes_nothing(spark):
+    """The declared order names every place, so p5_found reads no timestamps, learns nothing and starts no job of its own."""
+    from tests.conftest import SMALL
+    from tidemill.llm import catalog
+
+    for declared in (catalog._TIERS, catalog._KINDS):
+        against = [(x, y, 9, 0) for x in declared for y in declared if x != y]
+        assert survivor.merged("x", declared, against).order == survivor.merged("x", declared).order == declared
+    spark.sparkContext.setJobGroup("p5_found", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("p5_found"))
+    plan = catalog.p5_found(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("p5_found")
+    assert "last_seen" not in plan and "ArrowEvalPython" not in plan
+    assert len(jobs) - before <= 1  # the footer of the table
